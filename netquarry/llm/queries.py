@@ -1,11 +1,14 @@
 """The registered queries of the text operators, and their SQL where SQL can express them."""
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .line_dedup import OP10_SQL, op10_line_dedup
 
 QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op7_exact_dedup": OP7_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
