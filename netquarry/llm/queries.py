@@ -2,13 +2,18 @@
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .token_parquet import op6_token_parquet
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op6_token_parquet": op6_token_parquet,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_warc": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
