@@ -84,3 +84,10 @@ def as_bytes(column) -> list:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
+
+
+def pieces(batches, rows: int = 512):
+    """Arrow batches cut into at most ``rows`` rows, so that what is made from one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

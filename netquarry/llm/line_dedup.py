@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, as_bytes, pick, written
+from .common import SPACE_BYTES, as_bytes, pick, pieces, written
 from .cuckoo import Cuckoo, Full
 
 #: Keys for each shard: bounds the filter and the task that probes or changes it.
@@ -44,7 +44,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def keys(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             found, sizes = [], []
             for text in as_bytes(batch.column("text")):
                 own = {_key(x, min_chars) for x in text.split(b"\n")}
@@ -165,14 +165,14 @@ class LineState:
         return self.counts.filter(F.col("n_docs") >= min_docs).select("key", "max_doc")
 
 
-def dropped_lines(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, kept (the text that stays) for each row of docs (doc_id, text)."""
+def dropped_lines(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, texts: bool = True) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 and, if texts, kept (the text that stays) for each row of docs (doc_id, text)."""
 
     def rebuild(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            lines, dropped, digests, texts = [], [], [], []
+        for batch in pieces(batches):
+            lines, dropped, digests, left = [], [], [], []
             for text, drops in zip(as_bytes(batch.column("text")), batch.column("drops").to_pylist(), strict=True):
                 own = text.split(b"\n")
                 if drops:
@@ -184,19 +184,19 @@ def dropped_lines(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS,
                 lines.append(len(own))
                 dropped.append(len(own) - len(kept))
                 digests.append(hashlib.sha256(text).hexdigest())
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests), pa.array(texts, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"],
-            )
+                left.append(text)
+            out = {"doc_id": batch.column("doc_id"), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(digests)}
+            if texts:
+                out["kept"] = pa.array(left, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     keys = state.refs.join(state.repeated(min_docs), "key").filter(F.coalesce(F.col("doc_id") < F.col("max_doc"), F.col("doc_id").isNull() & F.col("max_doc").isNotNull()))
     drops = keys.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("drops"))
     both = docs.join(drops, docs.doc_id.eqNullSafe(drops.id), "left").select("doc_id", "text", "drops")
-    return both.mapInArrow(rebuild, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
+    return both.mapInArrow(rebuild, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * texts)
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2, texts: bool = True) -> DataFrame:
     """dropped_lines for all rows, inserted in ``batches`` batches by a hash of doc_id."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     refs = written(line_keys(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "refs")
@@ -205,11 +205,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
     for more in part[1:]:
         state = state.insert(more)
     state.refs = refs.select("doc_id", "key")  # the union of all batches, as one scan
-    return dropped_lines(docs, state)
+    return dropped_lines(docs, state, texts=texts)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
 
 
 OP10_SQL = r"""
