@@ -4,6 +4,7 @@ from .chat import OP3_SQL, op3_chat
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op8_mix
+from .pii import op9_pii
 from .token_parquet import op6_token_parquet
 from .warc import OP1_SQL, op1_warc
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_token_parquet": op6_token_parquet,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
+    "op9_pii": op9_pii,
     "op10_line_dedup": op10_line_dedup,
 }
 
