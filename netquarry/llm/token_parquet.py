@@ -15,6 +15,7 @@ clashing names, are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -28,16 +29,21 @@ END_ID = 1
 GROUP_TOKENS = 1 << 20
 PAGE_BYTES = 64 << 10
 MANIFEST = "part int, path string, first_id long, last_id long, docs long, tokens long, row_groups int"
-#: A worker forgets its words beyond this many words or ids.
+#: A worker forgets its pieces beyond this many pieces or ids.
 CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
+#: Fixed values of the tokenizer's file: how it cuts lowered text, for texts of plain Latin characters. ODD finds the others,
+#: whose normal form, case or white space need the library itself, and what could be a special token.
+_L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n{_L}{_N}]+"
+ODD = "[\x00-\x08\x0b-\x1f\x7f-\xa0<]|[^\x00-\u012f]"
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer that drops white space, each distinct word once.
+    """Encodes whole texts with word_bpe_49k.json, each distinct piece once.
 
-    Such a tokenizer splits at white space before anything else, so the ids of a text are those of
-    its words in order; text is cut at spaces, tabs and line ends only, and what lies between goes
-    to the library unchanged.
+    That tokenizer lowers text, drops white space and cuts at letters, numbers and other signs before
+    it looks for subwords, so the ids of a text are those of its pieces in order. Texts are cut here
+    by the same rule, and the library encodes each piece that the worker has not met yet.
     """
 
     def __init__(self, path: str):
@@ -49,34 +55,49 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         zero = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.zero = zero[0] if len(zero) == 1 else -1
+        self.odd, self.cut = re.compile(ODD).search, re.compile(PIECES).findall
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 ends a text
 
-    def _ids(self, words: list[str]) -> list[list[int]]:
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word: one call for many words, told apart by a zero, which is always a piece of its own."""
+        got = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in words if "0" in w}
         parted = [w for w in words if "0" not in w]
-        got = {w: self.tokenizer.encode(w, add_special_tokens=False).ids for w in words if "0" in w}
         for k in range(0, len(parted), 512):
             part = parted[k : k + 512]
             ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.zero)
+            cuts = np.flatnonzero(ids == self.zero).tolist()
             if len(cuts) != len(part) - 1:  # not this kind of tokenizer
-                got.update((w, self.tokenizer.encode(w, add_special_tokens=False).ids) for w in part)
+                got.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()) for w in part)
             else:
-                got.update(zip(part, [x[1:] if n else x for n, x in enumerate(np.split(ids, cuts))], strict=True))
-        return [got[w] for w in words]
+                data = ids.tobytes()
+                got.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True))
+        return got
 
     def _learn(self, words: list[str]) -> None:
-        got = self._ids(words)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        ids = self._ids(words)
+        got = [ids[w] for w in words]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, *[np.asarray(x, np.uint32) for x in got]])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), np.uint32)])
         self.sizes = np.concatenate([self.sizes, sizes])
 
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text: plain parts lowered and cut as the tokenizer would, words with odd characters as they are."""
+        if not self.odd(text):
+            return self.cut(text.lower())
+        found = []
+        for word in text.replace("\n", " ").replace("\t", " ").split(" "):
+            if self.odd(word):
+                found.append(word)
+            else:
+                found += self.cut(word.lower())
+        return found
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and how many each text has."""
         if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
@@ -84,7 +105,7 @@ class WordEncoder:
         words: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, x in enumerate(texts):
-            own = (x or "").replace("\n", " ").replace("\t", " ").split(" ")
+            own = self._cut(x or "")
             counts[k] = len(own)
             words += own
         spots = list(map(self.index.get, words))
