@@ -5,12 +5,14 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op8_mix
 from .pii import op9_pii
+from .quality import op5_quality
 from .token_parquet import op6_token_parquet
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_chat": op3_chat,
+    "op5_quality": op5_quality,
     "op6_token_parquet": op6_token_parquet,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix": op8_mix,
