@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick
+from .common import as_bytes, pick, pieces
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
@@ -217,16 +217,27 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                got = model.scores(as_bytes(piece.column(text)))
-                cols = [piece.column(c) for c in names] + [pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted"])
+        for piece in pieces(batches, 1024):
+            got = model.scores(as_bytes(piece.column(text)))
+            cols = [piece.column(c) for c in names] + [pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted"])
 
     return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
 
 
+def filter_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that score at least ``threshold``."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in pieces(batches, 1024):
+            yield batch.filter(pa.array([x >= threshold for x in model.scores(as_bytes(batch.column(at)))]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
