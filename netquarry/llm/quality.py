@@ -28,7 +28,7 @@ from .common import as_bytes, pick, pieces
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
-SAMPLE, TRAIN_CHUNKS, EPOCHS, BATCH, RATE, SEED = 4000, 12, 8, 32, 3e-3, 11
+SAMPLE, TRAIN_CHUNKS, STEPS, BATCH, RATE, SEED = 4000, 12, 700, 32, 3e-3, 11
 GROUP = 256
 THRESHOLD = 0.3
 PAD = 256
@@ -119,8 +119,8 @@ class Model:
         return found
 
 
-def train(samples: list[tuple[list[bytes], int]], seed: int = SEED, epochs: int = EPOCHS) -> Model:
-    """samples: the chunks of each text and its label. Adam on the cross entropy."""
+def train(samples: list[tuple[list[bytes], int]], seed: int = SEED, steps: int = STEPS) -> Model:
+    """samples: the chunks of each text and its label. Adam on the cross entropy, about ``steps`` batches however many samples there are."""
     labels = np.array([y for _, y in samples], np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, float(labels[0]) if len(labels) else 0.5)
@@ -132,6 +132,7 @@ def train(samples: list[tuple[list[bytes], int]], seed: int = SEED, epochs: int
 
     w = {"embed": normal(257, EMBED, by=EMBED), "filters": normal(WIDTH * EMBED, FILTERS, by=WIDTH * EMBED / 2), "bias": np.zeros(FILTERS, np.float32), "hidden": normal(2 * FILTERS, HIDDEN, by=FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": normal(2 * HIDDEN, by=2 * HIDDEN), "out_bias": np.zeros(1, np.float32)}
     model, first, second, step = Model(w), {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
+    epochs = max(1, round(steps * BATCH / len(texts)))
     for epoch in range(epochs):
         rate = RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
         order = rng.permutation(len(texts))
