@@ -1,0 +1 @@
+"""Column expressions: geometry and other scalars."""

@@ -1,0 +1 @@
+"""DataFrame operators on road networks."""

@@ -1,0 +1,38 @@
+"""Choice of a physical strategy for aggregate nearest neighbours."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from ..operators import ann as _ann
+from ..operators.distances import LOCAL_EDGES, fits_locally
+from ..sources.network import Network
+
+
+@dataclass(frozen=True)
+class Plan:
+    """distance: local or frame; search: full (all distances), concurrent (growing radius) or refine (Euclidean filter)."""
+
+    distance: str
+    search: str
+    reason: str
+
+
+def choose(net: Network, euclidean: bool = True) -> Plan:
+    """By the counted edges: a graph that fits a worker is searched whole there; a larger one only as far as a growing radius asks."""
+    if fits_locally(net.edges):
+        return Plan("local", "full", f"at most {LOCAL_EDGES} edges")
+    return Plan("frame", "concurrent", f"over {LOCAL_EDGES} edges")
+
+
+def ann(net: Network, queries: DataFrame, k: int = 10, agg: str = "sum", weights: bool = False, mode: str = "point", strategy: str = "auto", search: str | None = None) -> DataFrame:
+    """The k best points (mode point) or the best place (mode center) for each group of queries."""
+    plan = choose(net) if strategy == "auto" else Plan(strategy, search or "full", "asked for")
+    if mode == "center":
+        return _ann.center(net, queries, agg, weights, strategy=plan.distance)
+    if mode != "point":
+        raise ValueError(f"mode is point or center, not {mode}")
+    how = {"full": _ann.ann_points, "concurrent": _ann.ann_concurrent, "refine": _ann.ann_filter_refine}[search or plan.search]
+    return how(net, queries, k, agg, weights, strategy=plan.distance)

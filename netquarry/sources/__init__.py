@@ -1,0 +1 @@
+"""Data model, readers and writers."""

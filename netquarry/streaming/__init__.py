@@ -1,0 +1 @@
+"""Batch only: the model has no streams. Query groups that arrive as a stream can be answered in foreachBatch against a static network."""
