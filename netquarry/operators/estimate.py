@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,21 +102,20 @@ def polynomial_fit(cdf: DataFrame, terms: int = TERMS, unit: float = 1000.0) ->
 
     Sums of powers are built-in aggregates, so any number of rows becomes one small system for each anchor; only its solution is numpy.
     """
+
     x = F.col("d") / unit
-    sums = [F.sum(F.pow(x, F.lit(k))).alias(f"s{k}") for k in range(2 * terms - 1)] + [F.sum(F.pow(x, F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(terms)]
+    sums = [F.sum(F.pow(x, F.lit(k))) for k in range(2 * terms - 1)] + [F.sum(F.pow(x, F.lit(k)) * F.col("y")) for k in range(terms)]
 
     @F.pandas_udf("array<double>")
-    def solve(*cols: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
-        out = []
-        for row in zip(*cols, strict=True):
+    def solve(rows: pd.Series) -> pd.Series:
+        def one(row):
             s, t = row[: 2 * terms - 1], row[2 * terms - 1 :]
             a = np.array([[s[i + j] for j in range(terms)] for i in range(terms)])
-            out.append(np.linalg.lstsq(a, np.array(t), rcond=None)[0].tolist())
-        return pd.Series(out)
+            return np.linalg.lstsq(a, np.array(t), rcond=None)[0].tolist()
+
+        return rows.map(one)
 
-    return cdf.groupBy("qset", "qi").agg(*sums).select("qset", "qi", solve(*[f"s{k}" for k in range(2 * terms - 1)], *[f"t{k}" for k in range(terms)]).alias("poly"))
+    return cdf.groupBy("qset", "qi").agg(F.array(*sums).alias("sums")).select("qset", "qi", solve("sums").alias("poly"))
 
 
 def choose_anchors(nodes: DataFrame, n: int, tries: int = 10, seed: int = 1) -> DataFrame:

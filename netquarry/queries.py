@@ -568,10 +568,10 @@ def _(c):
 
 
 _CUT = "SELECT * FROM edges WHERE (ni * 7 + nj * 3) % 11 > 3"
-_CONNECTED = f", some AS ({_CUT}), sadj AS (SELECT ni AS src, nj AS dst FROM some UNION ALL SELECT nj, ni FROM some), reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN sadj a ON a.src = reach.node), ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM reach) "
+_CONNECTED = f", cut AS ({_CUT}), sadj AS (SELECT ni AS src, nj AS dst FROM cut UNION ALL SELECT nj, ni FROM cut), reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN sadj a ON a.src = reach.node), ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM reach) "
 
 
-@query("connected_graph", NET + _CONNECTED + "SELECT a.id AS ni, b.id AS nj, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS w FROM some JOIN ids a ON a.node = ni JOIN ids b ON b.node = nj")
+@query("connected_graph", NET + _CONNECTED + "SELECT a.id AS ni, b.id AS nj, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS w FROM cut JOIN ids a ON a.node = ni JOIN ids b ON b.node = nj")
 def _(c):
     some = c.net.edges.filter((F.col("ni") * 7 + F.col("nj") * 3) % 11 > 3)  # a network in pieces
     return P.connected(N.Network(c.net.nodes, some), 0).edges.select("ni", "nj", *at("w"))
@@ -672,7 +672,7 @@ def _(c):
     return E.polynomial_fit(E.cumulative(E.point_distances(c.net, c.queries, 900, dist=c.dist)))
 
 
-@query("fitted_estimates", _FIT + ", f AS (SELECT qi, regr_intercept(ly, x) AS a, regr_slope(ly, x) AS b FROM smp GROUP BY qi) SELECT qi, exp(a + b * ln(500))::DOUBLE // 1 AS est FROM f")
+@query("fitted_estimates", _FIT + ", f AS (SELECT qi, regr_intercept(ly, x) AS a, regr_slope(ly, x) AS b FROM smp GROUP BY qi) SELECT qi, trunc(exp(a + b * ln(500))) AS est FROM f")
 def _(c):
     return E.power_fit(_samples(c), "qi").select("qi", S.power_law(F.lit(500.0), F.col("a"), F.col("b")).cast("double").alias("est"))
 

@@ -86,10 +86,10 @@ def with_xy(things: DataFrame, net: Network) -> DataFrame:
 def numbered(df: DataFrame, into: str, *order: str | Column) -> DataFrame:
     """Dense numbers from 0 in the given order, without one global window: ranges are sorted and their sizes summed.
 
-    The driver sees one count for each partition.
+    The ranges are checkpointed before they are counted, since sampling could draw others in a second run. The driver sees one count for each partition.
     """
     parts = df.sparkSession.sparkContext.defaultParallelism
-    sorted_ = df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    sorted_ = df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = {r["_part"]: r["count"] for r in sorted_.groupBy("_part").count().collect()}
     before, run = {}, 0
     for k in sorted(sizes):
