@@ -27,6 +27,17 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"_{names.index(s)}").alias(a) for a, s in wanted.items()])
 
 
+def sealed(df: DataFrame, *needed: str):
+    """df with its needed columns under their own names and all others under names that cannot clash, and what puts the old names back."""
+    names = df.columns
+    for name in needed:
+        if name not in names:
+            raise ValueError(f"no column {name!r} among {names}")
+    own = {names.index(n) for n in needed}
+    plain = df.toDF(*[n if k in own else f"_x{k}" for k, n in enumerate(names)])
+    return plain, lambda out: out.select(*plain.columns).toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, sealed, written
 
 #: Offsets that each mask reads. With one word in five substituted at a fixed distance, the last two still have whole windows.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
@@ -78,9 +78,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
     """docs without the rows that hold a leak, with their own columns."""
     doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
+    docs, restored = sealed(docs, doc_id, text)
     bad = written(find_leaks(docs, benchmark, **columns).select(F.col("doc_id").alias("_bad_id"), F.col("row").alias("_bad_row")).distinct(), "leaks")
     keyed = docs.withColumn("_row", F.xxhash64(F.col(text)))
-    return keyed.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.col("_row") == F.col("_bad_row")), "left_anti").drop("_row")
+    return restored(keyed.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & F.col("_row").eqNullSafe(F.col("_bad_row")), "left_anti"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, pieces, written
+from .common import as_bytes, pick, pieces, sealed, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK = 4096
@@ -168,14 +168,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as it is taken, with their own columns. Rows that share a doc_id share its copies out in the order of a hash of the text."""
+    """The rows of docs (doc_id, source, text), each as often as it is taken, with their own columns. Rows that share a doc_id share its copies out in the order of a hash of the text."""
+    docs, restored = sealed(docs, "doc_id", "source", "text")
     taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     taken = written(taken, "taken").withColumnRenamed("doc_id", "_id")
-    names = docs.columns
     both = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
     copies = (F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_turn") < F.col("_copies") % F.col("_n"), 1).otherwise(0)).cast("int")
-    return both.withColumn("_turn", turn).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*names)
+    return restored(both.withColumn("_turn", turn).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

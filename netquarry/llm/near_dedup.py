@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, pieces, written
+from .common import as_bytes, pick, pieces, sealed, written
 from .graph import components
 
 HASHES, TREES = 64, 16
@@ -284,12 +284,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "
 
     Documents without words are all kept but for exact repeats of a row's doc_id and text.
     """
+    docs, restored = sealed(docs, doc_id, text)
     groups = near_groups(docs, words, percent, doc_id, text).filter("kept")
     linked = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("k")).select("k.*")
     stay = written(linked.unionByName(groups.filter("n_shingles = 0").select("doc_id", "row").distinct()), "stay").toDF("_stay_id", "_stay_row")
     keyed = docs.withColumn("_row", F.xxhash64(F.col(text)))
     kept = keyed.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_row") == F.col("_stay_row")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_row"]).drop("_row")
+    return restored(kept.dropDuplicates([doc_id, "_row"]))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

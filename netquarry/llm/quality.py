@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, pieces
+from .common import as_bytes, pick, pieces, sealed
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
@@ -213,22 +213,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs (their columns, or only ``keep``) with score and predicted, over every byte of every text."""
     names = keep if keep is not None else docs.columns
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "score double", "predicted int"])
+    plain, _ = sealed(docs, text)
+    own = [plain.columns[docs.columns.index(c)] for c in names]
+    schema = ", ".join([*(f"`{c}` {plain.schema[c].dataType.simpleString()}" for c in own), "_score double", "_predicted int"])
 
     def run(batches):
         import pyarrow as pa
 
         for piece in pieces(batches, 1024):
             got = model.scores(as_bytes(piece.column(text)))
-            cols = [piece.column(c) for c in names] + [pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "predicted"])
+            cols = [piece.column(c) for c in own] + [pa.array(got, pa.float64()), pa.array([int(x >= threshold) for x in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*own, "_score", "_predicted"])
 
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, schema)
+    return plain.select(*dict.fromkeys([*own, text])).mapInArrow(run, schema).toDF(*names, "score", "predicted")
 
 
 def filter_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that score at least ``threshold``."""
-    at = docs.columns.index(text)
+    plain, restored = sealed(docs, text)
+    at = plain.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
@@ -236,7 +239,7 @@ def filter_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
         for batch in pieces(batches, 1024):
             yield batch.filter(pa.array([x >= threshold for x in model.scores(as_bytes(batch.column(at)))]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return restored(plain.mapInArrow(run, plain.schema))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
