@@ -5,12 +5,14 @@ further. A node's signature is ``HASHES`` minima. Tree t of the forest orders no
 read from position t * STRIDE on (cyclically); nodes with a long common prefix are neighbours in that
 order. Candidates are regions of a shared prefix: ``DEPTHS`` starts shallow, and only a region of
 more than ``REGION`` nodes or ``REGION_SHINGLES`` shingles is read deeper, so depth adapts to the
-density and no task holds more. Within a region, signatures split nodes that are clearly unlike.
+density; what is still larger at the last depth is cut, in signature order, into windows that overlap
+by half, so each node meets its nearest by common prefix and no task holds more. Within a region,
+signatures split nodes that are clearly unlike.
 
 What the forest joins is a loose cluster; full sets are then compared exactly: within the whole
 cluster if it fits a cell, otherwise within each of its regions in every tree. Nothing is lost in
 clusters that fit a cell but links that no tree proposes (probability (1 - s**3)**16 for a pair at
-similarity s, under 3e-7 at 0.85); beyond, a link needs a tree where both share the deeper prefix.
+similarity s, under 3e-7 at 0.85); beyond, a link needs a tree where both share a deeper region or a window.
 
 Defined cases: null text and text without words have the empty set, are linked with nothing and form
 their own component; texts under ``words`` words are one shingle; equal sets are linked whatever the
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, pick, pieces, sealed, written
@@ -31,7 +33,7 @@ from .graph import components
 
 HASHES, TREES = 64, 16
 STRIDE = HASHES // TREES
-DEPTHS = (3, 4, 6, 9, 14, 22, 64)
+DEPTHS = (3, 4, 6, 9)
 REGION, REGION_SHINGLES = 2000, 3_000_000
 #: Standard errors that a pair's signature estimate may lie under the threshold and still be compared.
 MARGIN = 5.0
@@ -111,6 +113,27 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, n long, node binary, sig binary")
 
 
+def _windows(batches):
+    """Successive nodes of a region in signature order, dealt to windows of at most REGION nodes that share half their nodes with the next one."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, now, half, size, shingles = TaskContext.get().partitionId(), None, 0, 0, 0
+    for batch in batches:
+        out = []
+        for tree, region, node, n in zip(*[batch.column(c).to_pylist() for c in ("tree", "region", "node", "n")], strict=True):
+            if now != (tree, region):
+                now, half, size, shingles = (tree, region), 0, 0, 0
+            elif size >= REGION // 2 or shingles + n > REGION_SHINGLES // 2:
+                half, size, shingles = half + 1, 0, 0
+            size, shingles = size + 1, shingles + n
+            for k in (half, half + 1):
+                key = hashlib.blake2b(f"{part},{tree},{region},{k}".encode(), digest_size=8).digest()
+                out.append((tree, int.from_bytes(key, "little", signed=True), node))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["tree", "region", "node"])
+
+
 def regions(nodes: DataFrame) -> DataFrame:
     """tree, region, node: every region of two or more nodes, as deep as its size asks for. nodes: node, n, sig."""
     twice = F.concat("sig", "sig")
@@ -127,14 +150,15 @@ def regions(nodes: DataFrame) -> DataFrame:
         if sizes.filter(~fits).isEmpty():
             break
         large = sizes.filter(~fits).select("tree", "region")
-        if depth == DEPTHS[-1]:  # equal signatures without end: neighbours in the order of their nodes, in halves that overlap
-            rest = keyed.join(large, ["tree", "region"])
-            order = Window.partitionBy("tree", "region").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-            half = F.floor(F.coalesce(F.sum(F.col("n") + F.lit(2 * REGION_SHINGLES // REGION // 2)).over(order), F.lit(0)) / (REGION_SHINGLES // 2))
-            parts = rest.select("tree", "region", "node", F.explode(F.array(half, half + 1)).alias("half"))
-            found = found.unionByName(parts.select("tree", F.xxhash64("region", "half").alias("region"), "node"))
+        dense = keyed.join(large, ["tree", "region"])
+        if depth == DEPTHS[-1]:
+            rotated = F.substring(twice, F.col("tree") * (2 * STRIDE) + 1, F.lit(2 * HASHES))
+            order = ["tree", "region", "rotated", "node"]
+            rows = dense.withColumn("rotated", rotated).select(*order, "n")
+            ranged = rows.repartitionByRange(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+            found = found.unionByName(ranged.select("tree", "region", "node", "n").mapInArrow(_windows, "tree int, region long, node binary"))
         else:
-            trees = written(keyed.join(large, ["tree", "region"]).select("node", "n", "sig", "tree"), "dense")
+            trees = written(dense.select("node", "n", "sig", "tree"), "dense")
     return written(found, "regions")
 
 

@@ -160,7 +160,8 @@ def test_near_dense_regions_go_deeper(spark, monkeypatch):
     whole = dict((i, c) for i, _, c, _ in want)
     assert all(whole[c] == whole[i] for i, _, c, _ in got)  # no false link
     # in a group of five times what a region may hold, a link at the very threshold needs a tree that keeps its ends together
-    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.9 * len(want)
+    same = sum(a == b for a, b in zip(got, want, strict=True))
+    assert same >= 0.9 * len(want), same
 
 
 def test_keep_one(spark):
