@@ -9,10 +9,12 @@ density; what is still larger at the last depth is cut, in signature order, into
 by half, so each node meets its nearest by common prefix and no task holds more. Within a region,
 signatures split nodes that are clearly unlike.
 
-What the forest joins is a loose cluster; full sets are then compared exactly: within the whole
-cluster if it fits a cell, otherwise within each of its regions in every tree. Nothing is lost in
-clusters that fit a cell but links that no tree proposes (probability (1 - s**3)**16 for a pair at
-similarity s, under 3e-7 at 0.85); beyond, a link needs a tree where both share a deeper region or a window.
+What the forest joins at its first depth is a loose cluster; full sets are then compared exactly:
+within the whole cluster if it fits a cell, otherwise within each of its regions in every tree first,
+and then, for links between what that left apart, by ``rest_cells``: linked sets must share one of
+their rarest shingles, and every such meeting of two components is a cell. So no link is lost, in
+clusters of any size, but those that no tree proposes (probability (1 - s**3)**16 for a pair at
+similarity s, under 3e-7 at 0.85) and those whose signatures agree ``MARGIN`` standard errors too little.
 
 Defined cases: null text and text without words have the empty set, are linked with nothing and form
 their own component; texts under ``words`` words are one shingle; equal sets are linked whatever the
@@ -25,7 +27,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, pick, pieces, sealed, written
@@ -134,11 +136,14 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["tree", "region", "node"])
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """tree, region, node: every region of two or more nodes, as deep as its size asks for. nodes: node, n, sig."""
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """tree, region, node: every region of two or more nodes, as deep as its size asks for. nodes: node, n, sig.
+
+    Also (a, b), from each node of a first-depth region that had to be read deeper to the least of them, or None without such.
+    """
     twice = F.concat("sig", "sig")
     trees = nodes.select("node", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    found = None
+    found = dense_edges = None
     for depth in DEPTHS:
         prefix = F.substring(twice, F.col("tree") * (2 * STRIDE) + 1, F.lit(2 * depth))
         keyed = trees.withColumn("region", F.xxhash64("tree", F.lit(depth), prefix))
@@ -151,6 +156,9 @@ def regions(nodes: DataFrame) -> DataFrame:
             break
         large = sizes.filter(~fits).select("tree", "region")
         dense = keyed.join(large, ["tree", "region"])
+        if depth == DEPTHS[0]:
+            least = dense.groupBy("tree", "region").agg(F.min("node").alias("b"))
+            dense_edges = written(dense.join(least, ["tree", "region"]).select(F.col("node").alias("a"), "b").distinct(), "dense-edges")
         if depth == DEPTHS[-1]:
             rotated = F.substring(twice, F.col("tree") * (2 * STRIDE) + 1, F.lit(2 * HASHES))
             order = ["tree", "region", "rotated", "node"]
@@ -159,7 +167,7 @@ def regions(nodes: DataFrame) -> DataFrame:
             found = found.unionByName(ranged.select("tree", "region", "node", "n").mapInArrow(_windows, "tree int, region long, node binary"))
         else:
             trees = written(dense.select("node", "n", "sig", "tree"), "dense")
-    return written(found, "regions")
+    return written(found, "regions"), dense_edges
 
 
 def _grouped(batches, key: str):
@@ -276,25 +284,83 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, shingles binary")
 
 
+def _exploded(batches):
+    """root, node, comp, n, shingle for each shingle of a set."""
+    import pyarrow as pa
+
+    for batch in pieces(batches, 64):
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        spot = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        rest = [batch.column(c).take(spot) for c in ("root", "node", "comp")]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets))], names=["root", "node", "comp", "n", "shingle"])
+
+
+def rest_cells(open_: DataFrame, percent: int) -> DataFrame:
+    """cell, node: cells that hold the ends of every link between different components of a cluster. open_: root, node, comp, shingles.
+
+    In any one order of a cluster's shingles, two sets of the similarity share one of their first n - ceil(percent * n / 100) + 1;
+    the order is by rarity, so these meet few. A meeting within one component needs no cell, meetings of the same nodes need one.
+    A meeting too large for a cell is dealt in blocks: the nodes outside its largest component against all of it.
+    """
+    small = open_.select(F.xxhash64("root").alias("root"), F.xxhash64("node").alias("node"), F.xxhash64("comp").alias("comp"), "shingles")
+    rows = small.mapInArrow(_exploded, "root long, node long, comp long, n long, shingle long")
+    rows = rows.select(F.xxhash64("root", "shingle").alias("key"), "node", "comp", "n")
+    often = rows.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "key").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("often", "key")))
+    first = ranked.filter((F.col("rank") <= F.expr(f"n - ({percent} * n + 99) div 100 + 1")) & (F.col("often") > 1))
+    first = written(first.select("key", "node", "comp", "n"), "rarest")
+    held = first.groupBy("key", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor("node").alias("x"), F.sum(F.shiftright("node", 32)).alias("s"))
+    meets = held.groupBy("key").agg(
+        F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"),
+        F.max(F.struct("size", "shingles")).alias("top"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"),
+    ).filter("comps > 1").dropDuplicates(["size", "shingles", "x", "s"])
+    fits = (F.col("size") <= REGION) & (F.col("shingles") <= REGION_SHINGLES)
+
+    def blocks(size, shingles):
+        return F.greatest(F.lit(1), F.ceil(size * 2 / REGION), F.ceil(shingles * 2 / REGION_SHINGLES)).cast("int")
+
+    top = [F.col("top.size"), F.col("top.shingles")]
+    meets = meets.select("key", "main", F.when(fits, 0).otherwise(blocks(*top)).alias("mains"), blocks(F.col("size") - top[0], F.col("shingles") - top[1]).alias("others"))
+    cells = first.join(written(meets, "meets"), "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("comp") == F.col("main"), F.greatest("mains", F.lit(1))).otherwise(F.col("others"))).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    to_others = F.transform(every(F.col("others")), lambda o: F.xxhash64("key", F.lit("main"), "block", o))
+    to_mains = F.transform(every(F.col("mains")), lambda m: F.xxhash64("key", F.lit("main"), m, "block"))
+    among = F.transform(F.filter(every(F.col("others")), lambda o: o != F.col("block")), lambda o: F.xxhash64("key", F.lit("others"), F.least(o, "block"), F.greatest(o, "block")))
+    dealt = F.when(F.col("mains") == 0, F.array(F.col("key"))).when(F.col("comp") == F.col("main"), to_others).otherwise(F.concat(to_mains, among))
+    pairs = cells.select(F.explode(dealt).alias("cell"), F.col("node").alias("id"))
+    return pairs.join(open_.select(F.xxhash64("node").alias("id"), "node"), "id").select("cell", "node")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept, row (hash of the text)."""
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("text"))
     signed = written(shingled(rows, words), "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes, "nodes")
-    members = regions(nodes)
+    members, dense = regions(nodes)
     share = percent / 100
     loose = written(loose_edges(members, nodes, share - MARGIN * (share * (1 - share) / HASHES) ** 0.5), "loose")
-    clusters = written(components(loose).join(nodes.select("node", "rep", "n"), "node"), "clusters")
+    clusters = written(components(loose if dense is None else loose.unionByName(dense)).join(nodes.select("node", "rep", "n"), "node"), "clusters")
     size = clusters.groupBy("root").agg(((F.count("*") <= REGION) & (F.sum("n") <= REGION_SHINGLES)).alias("fits"))
     sized = clusters.join(size, "root").select("node", "rep", "root", "fits")
     whole = sized.filter("fits").select(F.xxhash64("root").alias("cell"), "node")
     split = members.join(sized.filter("not fits").select("node", "root"), "node").select(F.xxhash64("region", "tree", "root").alias("cell"), "node")
     # Rows with a node's smallest doc_id; the set's own hash says whose set it is, should rows of other texts repeat that doc_id.
-    wanted = clusters.select(F.col("rep").alias("id")).distinct()
-    sets = _sets(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.id), "left_semi"), words).dropDuplicates(["node"])
-    links = written(exact_edges(whole.unionByName(split).join(sets, "node"), percent), "links")
+    def sets(of: DataFrame) -> DataFrame:
+        wanted = of.select(F.col("rep").alias("id")).distinct()
+        return _sets(rows.join(wanted, rows.doc_id.eqNullSafe(wanted.id), "left_semi"), words).dropDuplicates(["node"])
+
+    links = written(exact_edges(whole.unionByName(split).join(sets(clusters), "node"), percent), "links")
     joined = written(components(links), "joined")
+    apart = sized.filter("not fits").join(joined.select("node", F.col("root").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = apart.groupBy("root").agg((F.min("comp") != F.max("comp")).alias("several")).filter("several").select("root")
+    apart = written(apart.join(several, "root").select("root", "node", "comp", "rep"), "apart")
+    if not apart.isEmpty():
+        open_ = written(apart.join(sets(apart), "node").select("root", "node", "comp", "shingles"), "open")
+        more = exact_edges(rest_cells(open_, percent).join(open_.select("node", "shingles"), "node"), percent)
+        known = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        joined = written(components(known.unionByName(written(more, "more"))), "all-joined")
     least = joined.join(nodes.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least"))
     named = joined.join(least, "root").select("node", "least")
     labels = written(nodes.select("node", "rep").join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id")), "labels")
