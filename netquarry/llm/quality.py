@@ -6,8 +6,9 @@ hidden layer judges the chunk, and the chunks' judgements, max- and mean-pooled
 are combined into one probability.
 
 The network is trained on the driver from a bounded sample of labelled rows (``SAMPLE`` rows, at most
-``TRAIN_CHUNKS`` chunks of each, spread over the whole text); every document is scored over all of
-its bytes on the executors, in groups of ``GROUP`` chunks, so memory is bounded for texts of any
+``TRAIN_CHUNKS`` chunks of each, spread over the whole text) until a split of these rows shows no more
+gain; then all of them go through the passes found. Every document is scored over all of its bytes
+on the executors, in groups of ``GROUP`` chunks, so memory is bounded for texts of any
 length. Only the text enters a score.
 
 Defined cases: null and empty texts are one chunk of padding; repeated rows get equal scores; labels
@@ -18,6 +19,7 @@ empty table gives no rows; extra columns, also with clashing names, are ignored.
 
 from __future__ import annotations
 
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,9 @@ from .common import as_bytes, pick, pieces, sealed
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
-SAMPLE, TRAIN_CHUNKS, STEPS, BATCH, RATE, SEED = 4000, 12, 700, 32, 3e-3, 11
+SAMPLE, TRAIN_CHUNKS, BATCH, RATE, SEED = 4000, 12, 32, 3e-3, 11
+#: Training goes by rounds of whole passes with ROUND steps at least. After PATIENCE rounds without a GAIN in the loss of the split (one row in SPLIT) it goes back to the best and on with the next rate of FALLS, and ends after the last.
+ROUND, PATIENCE, GAIN, FALLS, SPLIT = 80, 3, 1e-3, (1, 0.2), 7
 GROUP = 256
 THRESHOLD = 0.3
 PAD = 256
@@ -119,33 +123,83 @@ class Model:
         return found
 
 
-def train(samples: list[tuple[list[bytes], int]], seed: int = SEED, steps: int = STEPS) -> Model:
-    """samples: the chunks of each text and its label. Adam on the cross entropy, about ``steps`` batches however many samples there are."""
+def train(samples: list[tuple[list[bytes], int]], seed: int = SEED) -> Model:
+    """samples: the chunks of each text and its label. Adam on the cross entropy until it has converged.
+
+    The passes and their rates are found on all samples but a split of them, by the loss of the split, and then gone through with all.
+    """
     labels = np.array([y for _, y in samples], np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, float(labels[0]) if len(labels) else 0.5)
-    rng = np.random.default_rng(seed)
     texts = [np.concatenate([_chunks(c, [0]) for c in chunks]) for chunks, _ in samples]
-
-    def normal(*shape, by):
-        return (rng.standard_normal(shape) / np.sqrt(by)).astype(np.float32)
-
-    w = {"embed": normal(257, EMBED, by=EMBED), "filters": normal(WIDTH * EMBED, FILTERS, by=WIDTH * EMBED / 2), "bias": np.zeros(FILTERS, np.float32), "hidden": normal(2 * FILTERS, HIDDEN, by=FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": normal(2 * HIDDEN, by=2 * HIDDEN), "out_bias": np.zeros(1, np.float32)}
-    model, first, second, step = Model(w), {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
-    epochs = max(1, round(steps * BATCH / len(texts)))
-    for epoch in range(epochs):
-        rate = RATE * (0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 0.02)
-        order = rng.permutation(len(texts))
+    trainer = _Trainer(texts, labels, np.arange(len(texts)), seed)
+    for rate in _schedule(texts, labels, seed):
+        trainer.go(rate)
+    return trainer.model
+
+
+def _schedule(texts: list[np.ndarray], labels: np.ndarray, seed: int) -> list[float]:
+    """The rate of each pass up to the least loss of the split; without both labels in split and rest, the loss is that of all rows."""
+    aside = np.random.default_rng(seed).permutation(len(texts)) % SPLIT == 0
+    rest, split = np.flatnonzero(~aside), np.flatnonzero(aside)
+    if min(len(set(labels[rest])), len(set(labels[split]))) < 2:
+        rest = split = np.arange(len(texts))
+    trainer, rates, best = _Trainer(texts, labels, rest, seed), [], np.inf
+    kept, passes = trainer.state(), -(-ROUND * BATCH // len(rest))
+    for fall in FALLS:
+        trainer.back(kept)
+        idle, tried = 0, []
+        while idle < PATIENCE:
+            for _ in range(passes):
+                trainer.go(RATE * fall)
+                tried.append(RATE * fall)
+            loss = trainer.loss(split)
+            idle = 0 if loss < best - GAIN else idle + 1
+            if loss < best:
+                best, kept, rates, tried = loss, trainer.state(), rates + tried, []
+    return rates
+
+
+class _Trainer:
+    """Passes of Adam over the texts at ``rows``."""
+
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, rows: np.ndarray, seed: int):
+        self.texts, self.labels, self.rows, self.rng, self.step = texts, labels, rows, np.random.default_rng(seed), 0
+
+        def normal(*shape, by):
+            return (self.rng.standard_normal(shape) / np.sqrt(by)).astype(np.float32)
+
+        w = {"embed": normal(257, EMBED, by=EMBED), "filters": normal(WIDTH * EMBED, FILTERS, by=WIDTH * EMBED / 2), "bias": np.zeros(FILTERS, np.float32), "hidden": normal(2 * FILTERS, HIDDEN, by=FILTERS), "hidden_bias": np.zeros(HIDDEN, np.float32), "out": normal(2 * HIDDEN, by=2 * HIDDEN), "out_bias": np.zeros(1, np.float32)}
+        self.model, self.first, self.second = Model(w), {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+
+    def go(self, rate: float) -> None:
+        """One pass."""
+        order, w, first, second = self.rng.permutation(self.rows), self.model.weights, self.first, self.second
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            sizes = np.array([len(texts[i]) for i in own])
-            chunks, of = np.concatenate([texts[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
-            g, step = _gradients(model, chunks, of, sizes, labels[own]), step + 1
+            sizes = np.array([len(self.texts[i]) for i in own])
+            chunks, of = np.concatenate([self.texts[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
+            g, self.step = _gradients(self.model, chunks, of, sizes, self.labels[own]), self.step + 1
             for name, value in g.items():
                 first[name] = 0.9 * first[name] + 0.1 * value
                 second[name] = 0.999 * second[name] + 0.001 * value**2
-                w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return model
+                w[name] -= (rate * (first[name] / (1 - 0.9**self.step)) / (np.sqrt(second[name] / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
+
+    def state(self) -> tuple:
+        return deepcopy((self.model.weights, self.first, self.second, self.step))
+
+    def back(self, state: tuple) -> None:
+        """Go on from a state."""
+        self.model.weights, self.first, self.second, self.step = deepcopy(state)
+
+    def loss(self, rows: np.ndarray) -> float:
+        """The mean cross entropy of the texts at ``rows``."""
+        total = 0.0
+        for i in rows:
+            h = np.concatenate([self.model.chunk_scores(self.texts[i][k : k + GROUP]) for k in range(0, len(self.texts[i]), GROUP)])
+            p = min(max(self.model._probability(h.max(0), h.mean(0)), 1e-6), 1 - 1e-6)
+            total -= np.log(p if self.labels[i] else 1 - p)
+        return total / len(rows)
 
 
 def _gradients(model: Model, chunks: np.ndarray, of: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict:

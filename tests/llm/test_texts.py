@@ -132,6 +132,15 @@ def test_quality_learns(spark):
     assert quality.fit(docs, labels.limit(0)).score(b"x") == 0.5 and quality.score(table(spark, []), model).count() == 0
 
 
+def test_quality_trains_to_convergence(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(200)]
+    samples = [([(t[:30] + "xyz" * (k % 2) + t[30:]).encode()], k % 2) for k, t in enumerate(texts)]
+    monkeypatch.setattr(quality, "RATE", 3e-4)  # so slow that 700 steps end before the loss stops falling
+    model = quality.train(samples)
+    assert all((model.score(c[0]) >= 0.5) == bool(y) for c, y in samples)
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 30, 200])), rng.choice(["a", "b", "c", None])) for k in range(500)] + [(1, "w " * 40, "a"), (1, "w " * 40, "a"), (700, None, "a"), (None, "w w", "b")]
