@@ -492,6 +492,11 @@ def _(c):
     return U.box_join(some, some, 150).select("l_ni", "l_nj", "r_ni", "r_nj")
 
 
+@query("box_join_all", NET + "SELECT l.ni AS l_ni, l.nj AS l_nj, r.ni AS r_ni, r.nj AS r_nj FROM boxes l JOIN boxes r ON l.xmin <= r.xmax AND r.xmin <= l.xmax AND l.ymin <= r.ymax AND r.ymin <= l.ymax")
+def _(c):
+    return U.box_join(_boxes(c), _boxes(c), 150).select("l_ni", "l_nj", "r_ni", "r_nj")
+
+
 @query("group_boxes", NET + "SELECT qset, round(min(x), 6) AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) AS ymin, round(max(y), 6) AS ymax FROM qxy GROUP BY qset")
 def _(c):
     return U.bounding_box(c.queries_xy, "qset").select("qset", *at("xmin", "xmax", "ymin", "ymax"))

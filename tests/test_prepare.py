@@ -143,3 +143,13 @@ def test_formats(spark, net, tmp_path):
     assert T.read_config("a = 1\n// b=2\nc=3 // d", ["-a", "9"]) == {"a": "9"}
     with pytest.raises(KeyError):
         T.read_config("", required=("a",))
+
+
+def test_box_join_all_takes_every_box(spark):
+    from netquarry.queries import QUERIES, _boxes, context
+
+    folder = "/root/testdata/sf0.001"
+    rows = _boxes(context(spark, folder)).collect()
+    want = {(a.ni, a.nj, b.ni, b.nj) for a in rows for b in rows if a.xmin <= b.xmax and b.xmin <= a.xmax and a.ymin <= b.ymax and b.ymin <= a.ymax}
+    got = [tuple(r) for r in QUERIES["box_join_all"](spark, folder).collect()]
+    assert set(got) == want and len(got) == len(want)
