@@ -196,6 +196,13 @@ def _(c):
     return adj.join(held, ["ni", "nj"], "left").select(F.col("src").alias("node_id"), "dst", "w", F.coalesce("points", F.lit(0)).alias("points"))
 
 
+@query("node_fields_all", NET + ", held AS (SELECT ni, nj, count(*) AS points FROM points GROUP BY ni, nj) SELECT src AS node_id, dst, w, coalesce(points, 0) AS points FROM adj LEFT JOIN held ON held.ni = least(src, dst) AND held.nj = greatest(src, dst)")
+def _(c):
+    held = c.net.points.groupBy("ni", "nj").agg(F.count("*").alias("points"))
+    adj = N.adjacency(c.net.edges).withColumn("ni", F.least("src", "dst")).withColumn("nj", F.greatest("src", "dst"))
+    return adj.join(held, ["ni", "nj"], "left").select(F.col("src").alias("node_id"), "dst", "w", F.coalesce("points", F.lit(0)).alias("points"))
+
+
 _GROUPS = ", grp AS (SELECT ni, nj, w, count(*) AS size, sum(count(*)) OVER (ORDER BY ni, nj)::BIGINT - count(*) AS first_id, list(pos ORDER BY pos) AS offsets FROM points GROUP BY ni, nj, w) "
 
 

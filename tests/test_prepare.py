@@ -153,3 +153,14 @@ def test_box_join_all_takes_every_box(spark):
     want = {(a.ni, a.nj, b.ni, b.nj) for a in rows for b in rows if a.xmin <= b.xmax and b.xmin <= a.xmax and a.ymin <= b.ymax and b.ymin <= a.ymax}
     got = [tuple(r) for r in QUERIES["box_join_all"](spark, folder).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_node_fields_all_lists_every_node(spark):
+    from netquarry.queries import QUERIES, context
+
+    folder = "/root/testdata/sf0.001"
+    net, held = context(spark, folder).net, {}
+    for r in net.points.collect():
+        held[r.ni, r.nj] = held.get((r.ni, r.nj), 0) + 1
+    want = sorted(x for r in net.edges.collect() for x in ((r.ni, r.nj, r.w, held.get((r.ni, r.nj), 0)), (r.nj, r.ni, r.w, held.get((r.ni, r.nj), 0))))
+    assert sorted(tuple(r) for r in QUERIES["node_fields_all"](spark, folder).collect()) == want
