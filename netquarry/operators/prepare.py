@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,6 +152,13 @@ def overlay_distances(net: Network, queries: DataFrame, parts: DataFrame, open_p
     return got.join(parts.filter(F.col("part") == open_part).select(F.col("node_id").alias("node")), "node", "left_semi").select("qset", "qi", "node", "d")
 
 
+def overlay_distances_all(net: Network, queries: DataFrame, parts: DataFrame, short: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """overlay_distances to the nodes of every part; the shortcuts are computed once and each part is searched on its own."""
+    short = shortcuts(net.edges, parts).checkpoint() if short is None else short
+    each = [overlay_distances(net, queries, parts, r.part, short, strategy).checkpoint() for r in parts.select("part").distinct().orderBy("part").collect()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def snapped(places: DataFrame, net: Network, cell_size: float, key: str = "pid") -> DataFrame:
     """key, ni, nj, pos, gap: each place (key, x, y) on its nearest edge, by true projection; ties to the lower edge.
 

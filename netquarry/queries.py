@@ -566,6 +566,11 @@ def _(c):
     return P.overlay_distances(c.net, one, c.parts, target)
 
 
+@query("overlay_distances_all", DIST + "SELECT qset, qi, node, d FROM dist")
+def _(c):
+    return P.overlay_distances_all(c.net, c.queries, c.parts)
+
+
 _COMP = ", reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN adj a ON a.src = reach.node) "
 
 

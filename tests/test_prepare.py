@@ -164,3 +164,11 @@ def test_node_fields_all_lists_every_node(spark):
         held[r.ni, r.nj] = held.get((r.ni, r.nj), 0) + 1
     want = sorted(x for r in net.edges.collect() for x in ((r.ni, r.nj, r.w, held.get((r.ni, r.nj), 0)), (r.nj, r.ni, r.w, held.get((r.ni, r.nj), 0))))
     assert sorted(tuple(r) for r in QUERIES["node_fields_all"](spark, folder).collect()) == want
+
+
+def test_overlay_distances_all_reaches_every_part(spark, net):
+    parts = P.voronoi_parts(net, U.str_seeds(net.nodes, 2)).select("node_id", "part").checkpoint()
+    e = [tuple(r) for r in net.edges.collect()]
+    q = group(spark, [(0, 0, *e[0][:2], 0.0), (1, 1, *e[9][:2], e[9][2])])
+    want = sorted((r.qset, r.qi, r.node, r.d) for r in distances(q, net.edges).collect())
+    assert sorted((r.qset, r.qi, r.node, r.d) for r in P.overlay_distances_all(net, q, parts).collect()) == want
