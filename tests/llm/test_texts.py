@@ -1,12 +1,16 @@
 import hashlib
+import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netquarry.llm import chat, mixing, quality
-from netquarry.llm.decontaminate import decontaminate, find_leaks
+from netquarry.llm import decontaminate as decontaminate_module
+from netquarry.llm.decontaminate import SIMILARITY, decontaminate, find_leaks, masks_of
 from netquarry.llm.token_parquet import WordEncoder, digests, read_tokens, tokenizer_file, write_tokens
 from netquarry.llm.warc import archive, read_records, write_monoliths, normalise
 
@@ -106,14 +110,62 @@ def test_leaks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     filler = lambda n: " ".join(word() for _ in range(n))
     fifth = " ".join("zzzz" if k % 5 == 4 else w for k, w in enumerate(items[0][1].split()))
-    rows = [(0, None), (1, ""), (2, filler(500)), (3, f"{filler(20)} {items[0][1].upper()}! {filler(9)}"), (4, fifth), (5, f"{filler(3000)}\n{items[1][1]}"), (6, " ".join(items[0][1].split()[:20])), (7, items[4][1]), (8, " ".join(items[1][1].split()[:7]) + " " + filler(30)), (9, items[3][1].replace(" ", ", ")), (3, f"{items[2][1]}")]
+    rows = [(0, None), (1, ""), (2, filler(500)), (3, f"{filler(20)} {items[0][1].upper()}! {filler(9)}"), (4, fifth), (5, f"{filler(3000)}\n{items[1][1]}"), (6, " ".join(items[0][1].split()[:20])), (7, items[4][1]), (12, f"{filler(9)} {items[4][1]} {filler(3)}"), (8, " ".join(items[1][1].split()[:7]) + " " + filler(30)), (9, items[3][1].replace(" ", ", ")), (3, f"{items[2][1]}")]
     docs = table(spark, rows)
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()}
-    assert got == {(3, 0), (4, 0), (5, 1), (6, 0), (9, 3), (3, 2)}
-    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [0, 1, 2, 7, 8]
+    assert got == {(3, 0), (4, 0), (5, 1), (6, 0), (7, 4), (9, 3), (12, 4), (3, 2)}
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [0, 1, 2, 8]
     assert find_leaks(table(spark, []), bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_masks_see_all_that_the_rule_allows():
+    """Every pattern of differing words that SIMILARITY allows leaves some mask a whole window, for items of any length."""
+    for words in range(1, 13):
+        free = words - math.ceil(words * SIMILARITY)
+        for differ in itertools.combinations(range(words), free):
+            assert any(all(at + o not in differ for o in m) for m in masks_of(words) for at in range(words - max(m))), (words, differ)
+    assert all(list(m) != list(range(len(m))) for m in masks_of(20) + masks_of(10))
+
+
+def brute_leaks(rows, items):
+    words = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    best = {}
+    for i, t in rows:
+        d = words(t)
+        for k, x in items:
+            b = words(x)
+            w = min(len(b), 12)
+            for diag in range(-len(b), len(d) + 1) if b else ():
+                flags = [d[diag + j] == b[j] for j in range(len(b)) if 0 <= diag + j < len(d)]
+                top = max((sum(flags[j : j + w]) for j in range(len(flags) - w + 1)), default=0)
+                if top >= math.ceil(w * SIMILARITY) and len(flags) >= w:
+                    key = (i, t, k)
+                    best[key] = (max(best.get(key, (0,))[0], sum(flags)), len(b), max(best.get(key, (0, 0, 0))[2], top))
+    return sorted((i, k, *v) for (i, _, k), v in best.items())
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_leaks_equal_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate_module, "BROADCAST_SEEDS", -1)
+    monkeypatch.setattr(decontaminate_module, "STRETCH", 16)
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abc", k=4))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 5, 6, 6, 7, 8, 9, 10, 10, 11, 12, 13, 25])] + [(50, ""), (51, "... !")]
+    rows = [(900, None), (901, "")]
+    for k in range(160):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 1 + len(w) // 5)):
+            if w:
+                w[rng.randrange(len(w))] = word()
+        cut = rng.randint(0, 3) if len(w) > 14 else 0
+        rows.append((k, " ".join([word() for _ in range(rng.randint(0, 12))] + w[cut:] + [word() for _ in range(rng.randint(0, 12))])))
+    rows += [(902, f"{items[9][1]} " * 300), (903, "abca " * 3000), (5, rows[7][1]), (5, rows[7][1])]
+    bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, TEXT string")
+    got = sorted((r.doc_id, r.item_id, r.matched, r.item_words, r.best_window) for r in find_leaks(table(spark, rows), bench).collect())
+    assert got == brute_leaks(rows, items) and len(got) > 100
+
+
 def test_quality_learns(spark):
     rng = random.Random(4)
     good = lambda: " ".join("".join(rng.choices("abcdeinorst", k=rng.randint(2, 8))) for _ in range(rng.randint(20, 200)))
