@@ -55,6 +55,25 @@ def test_cases(spark):
     assert got[9].spans.startswith("ssn:4:15")
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = [
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 EUR 500", "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
+        "DE89370400440532013000EUR", "xDE89370400440532013000", "NO93 8601 1117 947, FR14 2004 1010 0505 0001 3M02 606.", "ZZ89370400440532013000",
+    ]
+    got = check(spark, texts)
+    assert [[s for s in got[k].spans.split(",") if "iban" in s] for k in range(len(texts))] == [
+        ["iban:0:27"], ["iban:0:22"], ["iban:0:27", "iban:28:55"], [], [], ["iban:0:18", "iban:20:53"], [],
+    ]
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 60_000
+    docs = spark.createDataFrame([(1, "a@b.cd " * n), (2, "x " + "10.0.0.1 " * 700)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii_report(docs).collect()}
+    assert got[1].n_email == n and got[1].spans == ",".join(f"email:{7 * k}:{7 * k + 6}" for k in range(n))
+    assert got[2].n_ip == 700 and got[2].spans == ",".join(f"ip:{2 + 9 * k}:{10 + 9 * k}" for k in range(700))
+
+
 def test_random(spark):
     rng = random.Random(7)
     pieces = ["a", "b9", "@", ".", "-", " ", "1", "23", "+1", "(", ")", "_", "%", "4242424242424242", "192.168.0.1", "x@y.com", "+1 (555) 123-4567", "é", "😀", "\n"]
