@@ -3,17 +3,26 @@
 Each source has a target number of words; a document is taken floor(target / source_size) times for
 sure and once more with the fractional rest as its inclusion probability. The flight phase moves
 these probabilities through the null space of two balancing constraints for each source, words and
-documents, until they are 0 or 1: three undecided documents at a time, along the one direction that
-changes neither total. It runs in blocks of bounded size (by a hash within each source, so a source
-with a third of all documents is many blocks); each block leaves at most two documents undecided,
-which meet in the next level's blocks, until one block a source is left. There a few documents of
-all sizes are kept out of the flight, and the landing problem of these and what the flight leaves is
-solved by trying all outcomes, so the words taken come within a few of the target. Random numbers come from the seed, source, level and block alone, so reruns
-agree whatever the partitioning.
-
-Defined cases: null text has size 0; documents of size 0 are taken 0 times; a null source is a source
-of its own, last in order; repeated rows are documents of their own; a source without words has
-target 0; an empty table gives no rows; extra columns, also with clashing names, are ignored.
+documents, until they are 0 or 1. It decides the largest documents first: a step moves the largest
+undecided one and, against it, all smaller ones of its block a little, along the projection that
+changes neither total; where the smaller ones cannot offset a document in both totals, words alone
+are balanced. Blocks are of bounded size (by a hash within each source, so a source with a third of
+all documents is many blocks); each leaves at most two of its smallest documents undecided, which
+meet in the next level's blocks, until one block a source is left. The landing problem of the at most
+two that remain there is solved by giving up the document total, then by one draw. Every step and
+the draw keep expectations, so each document is taken with its inclusion probability, and the words
+taken differ from the target by less than one of the smallest documents. Random numbers come from
+the seed, source, level and block alone, so reruns agree whatever the partitioning.
+
+Rows that are equal in doc_id, source and size are one unit with a count: their sure copies and one
+fractional rest, dealt to them in any order, so no number of repeats (null doc_ids, say) makes a
+block larger.
+
+Defined cases: null text has size 0; documents of size 0 are taken 0 times; very long texts are
+counted whole; a null source is a source of its own, last in order; repeated rows are documents of
+their own; a source without words has target 0; ties in size go by a hash of doc_id; sources that tie
+in the level of their cap are capped together; an empty table gives no rows; extra columns, also with
+clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pick, pieces, sealed, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK = 4096
-#: Documents of all sizes that a source's last block keeps for its landing, besides the at most two that its flight leaves.
-LANDING = 11
+BLOCK = 2048
+#: Equal rows that one task lists at a time.
+REPEATS = 10_000
 SEED = 20240607
 _EPS = 1e-9
 
@@ -65,47 +74,70 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return levels.select("source", "docs", "live", "source_size", F.when(F.col("free"), F.least(F.col("w") * final, F.col("cap"))).otherwise(F.col("cap")).alias("target"))
 
 
-def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Probabilities after the flight phase: sum(p) and sum(p * size) are kept, and at most two are left between 0 and 1."""
-    p, s, n = p.tolist(), size.astype(float).tolist(), len(p)
-    draws = iter(rng.random(2 * n + 8).tolist())
-    live, following = [], 0
-    while True:
-        while len(live) < 3 and following < n:
-            if _EPS < p[following] < 1 - _EPS:
-                live.append(following)
-            following += 1
-        if len(live) == 3:
-            a, b, c = live
-            u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
-            if s[a] == s[b]:  # also if all three are equal
-                u = (1.0, -1.0, 0.0)
-        elif len(live) == 2 and s[live[0]] == s[live[1]]:
-            u = (1.0, -1.0)
-        else:
-            return np.array(p)
-        up = min((1 - p[i]) / v if v > 0 else p[i] / -v for i, v in zip(live, u, strict=True) if v)
-        down = min(p[i] / v if v > 0 else (1 - p[i]) / -v for i, v in zip(live, u, strict=True) if v)
-        step = up if next(draws) * (up + down) < down else -down
-        for i, v in zip(live, u, strict=True):
-            p[i] += step * v
-            if p[i] <= _EPS or p[i] >= 1 - _EPS:
-                p[i] = float(p[i] > 0.5)
-        live = [i for i in live if 0 < p[i] < 1]
-
-
-def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The outcome of the undecided (few: all outcomes are tried) with the document total within one of its expectation whose words come nearest to theirs; ties to the nearer document total, then the first."""
-    p = p.copy()
+def _direction(s: np.ndarray, q: np.ndarray, both: bool) -> np.ndarray | None:
+    """The move of the undecided (sizes s, probabilities q; the first by 1) that keeps the words and, if both, the number of documents; None if the others cannot offset the first.
+
+    Of all such moves that with the least squares over q * (1 - q), so what is nearly decided moves least.
+    """
+    rest, w = s[1:], q[1:] * (1 - q[1:])
+    if not len(rest):
+        return None
+    if not both:
+        own = w * rest
+        return np.concatenate([[1.0], -s[0] / (own @ rest) * own])
+    whole = w.sum()
+    mean = (w @ rest) / whole
+    apart = rest - mean
+    own = w * apart
+    spread, gap = own @ apart, mean - s[0]
+    flat = spread <= _EPS * whole * max(s[0], 1.0) ** 2
+    if flat and abs(gap) > _EPS * max(s[0], 1.0):
+        return None
+    return np.concatenate([[1.0], -w / whole + (0.0 if flat else gap / spread * own)])
+
+
+def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, docs: bool = True) -> np.ndarray:
+    """Probabilities after the flight phase, largest documents first: sum(p * size) is kept and each p in expectation, at most two (without docs: one) are left between 0 and 1.
+
+    sum(p) is kept too with docs, but for steps in which the smaller documents could not offset the largest in both.
+    """
+    p = np.asarray(p, float).copy()
+    live = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    live = live[np.argsort(-size[live], kind="stable")]
+    s, q = size[live].astype(float), p[live]
+
+    def ways(u):
+        """How far along u and against it until some probability is 0 or 1, and whether that is the first's."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf))
+            down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf))
+        return up.min(), down.min(), min(up[0], down[0]) <= max(up.min(), down.min()) * (1 + _EPS)
+
+    while len(q) > (2 if docs else 1):
+        move = _direction(s, q, docs)
+        found = ways(move) if move is not None else None
+        if docs and (found is None or not found[2]):
+            alone = _direction(s, q, False)
+            other = ways(alone)
+            if found is None or other[2]:
+                move, found = alone, other
+        up, down, _ = found
+        q = q + (up if rng.random() * (up + down) < down else -down) * move
+        stay = (q > _EPS) & (q < 1 - _EPS)
+        if stay.all():  # rounding: the nearest to a border is decided
+            near = int(np.argmin(np.minimum(q, 1 - q)))
+            stay[near] = False
+        p[live[~stay]] = (q[~stay] > 0.5).astype(float)
+        live, s, q = live[stay], s[stay], q[stay]
+    p[live] = q
+    return p
+
+
+def landing(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """All decided: what the flight left goes on with words alone, and the last one is drawn."""
+    p = flight(size, p, rng, docs=False)
     left = np.flatnonzero((p > 0) & (p < 1))
-    if not len(left):
-        return p
-    outcomes = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-    docs = np.abs(outcomes.sum(1) - p[left].sum())
-    words = np.abs(outcomes @ size[left] - float(p[left] @ size[left]))
-    near = np.flatnonzero(docs < 1 + _EPS)
-    best = near[np.lexsort((docs[near].round(6), words[near].round(6)))[0]]
-    p[left] = outcomes[best]
+    p[left] = (rng.random(len(left)) < p[left]).astype(float)
     return p
 
 
@@ -122,20 +154,17 @@ def _settler(seed: int, level: int):
         tie = pd.util.hash_array(pdf["doc_id"].astype("float64").fillna(-0.5).to_numpy(), categorize=False)
         pdf = pdf.assign(tie=tie).sort_values(["size", "tie", "doc_id", "p"], ascending=[False, True, True, True], kind="stable")
         size = pdf["size"].to_numpy(np.float64)
-        p, rng = pdf["p"].to_numpy(np.float64).copy(), np.random.default_rng(_seed(seed, source, level, own))
+        rng = np.random.default_rng(_seed(seed, source, level, own))
+        p = flight(size, pdf["p"].to_numpy(np.float64), rng)
         if int(pdf["blocks"].iloc[0]) == 1:
-            flown = np.setdiff1d(np.arange(len(p)), np.linspace(0, len(p) - 1, LANDING).astype(int))
-            p[flown] = flight(size[flown], p[flown], rng)
-            p = landing(size, p)
-        else:
-            p = flight(size, p, rng)
+            p = landing(size, p, rng)
         return pdf.assign(p=p)[["doc_id", "source", "size", "p"]]
 
     return settle
 
 
 def cube(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """units: doc_id, source, size, p. Returns doc_id, source, size, extra (0 or 1), balanced on words and documents within each source."""
+    """units: doc_id, source, size (together unique), p. Returns doc_id, source, size, extra (0 or 1), balanced on words and documents within each source."""
     state, done, level = units.select("doc_id", "source", "size", "p"), None, 0
     while True:
         counts = state.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("of"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -149,6 +178,15 @@ def cube(units: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
             return done
 
 
+def _listed(units: DataFrame) -> DataFrame:
+    """One row for each of a unit's ``n`` rows (doc_id, source, size, n, all): the first ``all % n`` get a copy more. Units of many rows are cut before they are listed."""
+    cut = units.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))))
+    many = cut.filter(F.col("n") > REPEATS).repartition("doc_id", "source", "size", "from")
+    rows = cut.filter(F.col("n") <= REPEATS).unionByName(many)
+    no = F.explode(F.sequence("from", F.least(F.col("from") + REPEATS, F.col("n")) - 1))
+    return rows.withColumn("no", no).withColumn("copies", F.floor(F.col("all") / F.col("n")) + F.when(F.col("no") < F.col("all") % F.col("n"), 1).otherwise(0))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, copies (how often it is taken), taken (copies * size)."""
     rows = pick(docs, doc_id=doc_id, source=source, text=text)
@@ -156,14 +194,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     sized = written(sizes(rows), "sizes")
     aims = written(targets(sized, weights, share, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    rates = aims.select(F.col("source").alias("of"), "source_size", "target", F.floor(ratio + _EPS).alias("sure"), ratio.alias("ratio"))
-    rates = rates.withColumn("p", F.greatest(F.col("ratio") - F.col("sure"), F.lit(0.0)))
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    chance = (F.col("size") > 0) & (F.col("p") > _EPS)
-    drawn = cube(joined.filter(chance).select("doc_id", "source", "size", "p"), seed)
-    fixed = joined.filter(~chance).select("doc_id", "source", "size", F.lit(0).alias("extra"))
-    out = drawn.unionByName(fixed).join(rates, F.col("source").eqNullSafe(F.col("of")))
-    copies = F.when(F.col("size") > 0, F.col("sure") + F.col("extra")).otherwise(F.lit(0)).cast("long")
+    rates = aims.select(F.col("source").alias("of"), "source_size", "target", ratio.alias("ratio"))
+    units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    joined = units.join(rates, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("wish", F.when(F.col("size") > 0, F.col("n") * F.col("ratio")).otherwise(0.0))
+    joined = joined.withColumn("sure", F.floor(F.col("wish") + _EPS)).withColumn("p", F.greatest(F.col("wish") - F.col("sure"), F.lit(0.0)))
+    joined = written(joined, "units")
+    drawn = cube(joined.filter(F.col("p") > _EPS), seed)
+    extra = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_size"), "extra")
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of")) & (F.col("size") == F.col("_size"))
+    settled = joined.join(extra, own, "left").withColumn("all", (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long"))
+    out = _listed(settled.select("doc_id", "source", "size", "source_size", "target", "n", "all"))
+    copies = F.col("copies").cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -172,10 +213,14 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     docs, restored = sealed(docs, "doc_id", "source", "text")
     taken = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     taken = written(taken, "taken").withColumnRenamed("doc_id", "_id")
-    both = docs.join(taken, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
-    copies = (F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_turn") < F.col("_copies") % F.col("_n"), 1).otherwise(0)).cast("int")
-    return restored(both.withColumn("_turn", turn).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    copies = docs.join(taken.filter("_n = 1"), same).withColumn("_each", F.col("_copies").cast("int"))
+    shared = taken.filter("_n > 1")
+    if not shared.isEmpty():  # only these are put in order
+        turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text"))) - 1
+        each = (F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_turn") < F.col("_copies") % F.col("_n"), 1).otherwise(0)).cast("int")
+        copies = copies.unionByName(docs.join(shared, same).withColumn("_turn", turn).withColumn("_each", each).drop("_turn"))
+    return restored(copies.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_each")))))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,57 @@ def test_flight_keeps_totals():
     out = mixing.flight(size, p, rng)
     assert abs(out.sum() - p.sum()) < 1e-6 and abs(out @ size - p @ size) < 1e-4 and ((out > 0) & (out < 1)).sum() <= 2
     same = mixing.flight(np.full(50, 7.0), np.full(50, 0.3), rng)
-    assert abs(same.sum() - 15) < 1e-6 and ((same > 0) & (same < 1)).sum() <= 1
+    assert abs(same.sum() - 15) < 1e-6 and ((same > 0) & (same < 1)).sum() <= 2
+    for few in ([], [3.0], [3.0, 3.0], [5.0, 2.0, 2.0], [9000.0, 1.0, 1.0, 1.0]):
+        done = mixing.landing(np.array(few), mixing.flight(np.array(few), np.full(len(few), 0.4), rng), rng)
+        assert set(done) <= {0.0, 1.0}
+
+
+def test_draws_keep_inclusion_probabilities():
+    """Over many seeds each document is taken with its probability, and the words stay near their total although one document is half as long as all that others can offset."""
+    rng = np.random.default_rng(3)
+    size = np.concatenate([[1500.0, 900.0], rng.integers(1, 80, 150).astype(float)])
+    p = np.concatenate([[0.5, 0.3], rng.choice([0.2, 0.5, 0.85], 150)])
+    runs = 1000
+    total, off = np.zeros(len(p)), []
+    for seed in range(runs):
+        own = np.random.default_rng(seed)
+        out = mixing.landing(size, mixing.flight(size, p, own), own)
+        total += out
+        off.append(abs(out @ size - p @ size))
+    assert (np.abs(total / runs - p) < 5 * np.sqrt(p * (1 - p) / runs) + 1e-9).all()
+    assert np.mean(off) < 40 and max(off) < 160
+
+
+def test_targets_equal_resharing(spark):
+    """The closed form against the loop of the contract."""
+    rng = random.Random(21)
+    for trial in range(6):
+        size = {s: rng.choice([0, 1, 10, 1000, 100000]) * rng.randint(1, 9) for s in "abcdefgh"[: rng.randint(1, 8)]}
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}
+        want, left, free = {}, 1.5 * sum(size.values()), set(size)
+        while free:
+            level = left / sum(weight[s] for s in free)
+            over = {s for s in free if weight[s] * level > 2 * size[s] + 1e-9}
+            if not over:
+                want |= {s: weight[s] * level for s in free}
+                break
+            want |= {s: 2.0 * size[s] for s in over}
+            left, free = left - sum(2.0 * size[s] for s in over), free - over
+        sized = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(size.items())], "doc_id long, source string, size long")
+        got = {r.source: r.target for r in mixing.targets(sized).collect()}
+        assert got == pytest.approx(want, abs=1e-6), (size, trial)
+
+
+def test_mix_of_repeated_rows_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    rows = [(None, "w w w", "a")] * 60 + [(5, "w", "a")] * 9 + [(k, "w " * 4, "b") for k in range(40)] + [(99, "w " * 200_000, "b"), (98, "w " * 190_000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and max(r.size for r in got) == 200_000
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own if r.size < 100_000) + 200_000 * (s == "b")
+        assert all(r.taken <= 2 * r.size for r in own)
 
 
 def test_pipeline_stages(spark, tmp_path):
