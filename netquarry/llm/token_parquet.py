@@ -3,18 +3,24 @@
 The rows are ranged and sorted by doc_id; each task encodes its range and writes one file below a
 shared folder, under a name of its own attempt. The manifest (part, path, docs, tokens, first and
 last doc_id) names the files that count, so a repeated or lost task leaves at most an unlisted file.
-``start`` positions follow from the manifest's running token counts. A reader picks files by the
-manifest, row groups by statistics, and pages by their index, so ids of few documents, or the
-metadata columns alone, are read without the rest.
+``start`` positions follow from the manifest's running token counts and each row's own place in its
+file. A reader takes files by the manifest; within them Spark's Parquet reader takes the columns
+asked for, row groups by their statistics, and of those only the pages (of ``PAGE_ROWS`` rows at
+most) that the column and offset indexes name, so ids of few documents, or the metadata columns
+alone, are read without the rest.
+
+Any file of the tokenizers library can be given: texts go through the library whole, but for files
+that normalise and cut as ``CUTS`` says, whose pieces are encoded once each.
 
 Defined cases: null or empty text is the end id alone; a repeated doc_id gives one entry for each
-row, in the order of a hash of the text, then the text; null doc_ids come first; an empty table
-gives an empty manifest and no rows; very long texts are encoded whole; extra columns, also with
-clashing names, are ignored.
+row, in the order of a hash of the text, then the text; null doc_ids come first and are in no range
+of doc_ids; an empty table gives an empty manifest and no rows; very long texts are encoded whole;
+extra columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -27,21 +33,38 @@ from .common import filesystem, pick, scratch
 
 END_ID = 1
 GROUP_TOKENS = 1 << 20
-PAGE_BYTES = 64 << 10
+PAGE_BYTES, PAGE_ROWS = 64 << 10, 64
 MANIFEST = "part int, path string, first_id long, last_id long, docs long, tokens long, row_groups int"
+FILE = "doc_id long, at long, n_tokens int, ids array<long>"
 #: A worker forgets its pieces beyond this many pieces or ids.
 CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
-#: Fixed values of the tokenizer's file: how it cuts lowered text, for texts of plain Latin characters. ODD finds the others,
+#: Fixed values of word_bpe_49k.json: its normalisers, its cut, what becomes of the rest, and its model.
+CUTS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+    "BPE",
+)
+#: How such a tokenizer cuts lowered text, for texts of plain Latin characters. ODD finds the others,
 #: whose normal form, case or white space need the library itself, and what could be a special token.
 _L, _N = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = f"[{_L}]+|[{_N}]|'(?:s|t|re|ve|m|ll|d)|[^ \t\n{_L}{_N}]+"
 ODD = "[\x00-\x08\x0b-\x1f\x7f-\xa0<]|[^\x00-\u012f]"
 
 
+def cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer's file says that ids of a text are those of its CUTS pieces, and no special token is without ``<``."""
+    said = json.loads(tokenizer.to_str())
+    parts = (said.get("normalizer") or {}).get("normalizers"), (said.get("pre_tokenizer") or {}).get("pretokenizers"), (said.get("model") or {}).get("type")
+    return parts == CUTS and not said.get("truncation") and all(x["content"].startswith("<") for x in said.get("added_tokens") or ())
+
+
 class WordEncoder:
-    """Encodes whole texts with word_bpe_49k.json, each distinct piece once.
+    """Encodes whole texts, with a tokenizer that cuts_words each distinct piece once.
 
-    That tokenizer lowers text, drops white space and cuts at letters, numbers and other signs before
+    Such a tokenizer lowers text, drops white space and cuts at letters, numbers and other signs before
     it looks for subwords, so the ids of a text are those of its pieces in order. Texts are cut here
     by the same rule, and the library encodes each piece that the worker has not met yet.
     """
@@ -53,6 +76,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = cuts_words(self.tokenizer)
         zero = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.zero = zero[0] if len(zero) == 1 else -1
         self.odd, self.cut = re.compile(ODD).search, re.compile(PIECES).findall
@@ -100,6 +124,10 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and how many each text has."""
+        if not self.words:
+            found = [[*x.ids, END_ID] for x in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
         if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._forget()
         words: list[str] = []
@@ -144,7 +172,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, encoding: str = "
 
         task = TaskContext.get()
         fs, root = filesystem(folder)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.uint32(), nullable=False)))])
+        schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.uint32(), nullable=False)))])
         part = task.partitionId()
         path = f"{root}/part-{part:06d}-{task.attemptNumber()}-{uuid.uuid4().hex[:8]}.parquet"
         first, last, docs_, tokens, groups, out, held, encoder = None, None, 0, 0, 0, None, [], _encoder(tokenizer)
@@ -153,8 +181,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, encoding: str = "
             nonlocal out, groups, held
             if out is None:
                 fs.create_dir(root, recursive=True)
-                how = {"column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED", "doc_id": "DELTA_BINARY_PACKED"}, "use_dictionary": False} if encoding == "delta" else {"use_dictionary": ["ids.list.element"], "dictionary_pagesize_limit": 1 << 20}
-                out = pq.ParquetWriter(path, schema, filesystem=fs, compression="zstd", data_page_size=PAGE_BYTES, write_page_index=True, write_statistics=["doc_id", "n_tokens"], **how)
+                how = {"column_encoding": dict.fromkeys(["ids.list.element", "doc_id", "at", "n_tokens"], "DELTA_BINARY_PACKED"), "use_dictionary": False} if encoding == "delta" else {"use_dictionary": ["ids.list.element"], "dictionary_pagesize_limit": 1 << 20}
+                out = pq.ParquetWriter(path, schema, filesystem=fs, compression="zstd", data_page_size=PAGE_BYTES, max_rows_per_page=PAGE_ROWS, write_batch_size=PAGE_ROWS, write_page_index=True, write_statistics=["doc_id", "n_tokens"], **how)
             out.write_table(pa.Table.from_batches(held, schema), row_group_size=1 << 30)
             groups, held = groups + 1, []
 
@@ -164,7 +192,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, encoding: str = "
                 piece = batch.slice(at, 256)
                 ids, sizes = encoder.encode(piece.column("text").to_pylist())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                held.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.uint32()), type=schema.field("ids").type)], schema=schema))
+                held.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokens + np.cumsum(sizes) - sizes), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.uint32()), type=schema.field("ids").type)], schema=schema))
                 own = piece.column("doc_id")
                 first, last = (own[0].as_py() if docs_ == 0 else first), own[-1].as_py()
                 docs_, tokens, waiting = docs_ + piece.num_rows, tokens + len(ids), waiting + len(ids)
@@ -187,43 +215,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, encoding: str = "
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_tokens(manifest: DataFrame, folder: str, doc_ids: tuple[int, int] | None = None, ids: bool = True) -> DataFrame:
+def read_tokens(manifest: DataFrame, doc_ids: tuple[int, int] | None = None, ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens and, if asked for, ids, from the files that the manifest lists.
 
-    doc_ids: the first and last doc_id wanted; files and row groups outside are not read.
+    doc_ids: the first and last doc_id wanted; files, row groups and pages outside are not read. The driver gets the paths of the files that are.
     """
-
-    def read(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-
-        fs, _ = filesystem(folder)
-        for batch in batches:
-            for file in batch.to_pylist():
-                source, base = pq.ParquetFile(fs.open_input_file(file["path"])), file["base"]
-                for g in range(source.num_row_groups):
-                    meta = source.metadata.row_group(g)
-                    stats = meta.column(0).statistics
-                    if doc_ids and stats is not None and stats.has_min_max and (stats.max < doc_ids[0] or stats.min > doc_ids[1]):
-                        base += int(np.sum(source.read_row_group(g, columns=["n_tokens"]).column(0).to_numpy()))
-                        continue
-                    table = source.read_row_group(g, columns=["doc_id", "n_tokens", *(["ids"] if ids else [])]).combine_chunks()
-                    sizes = table.column("n_tokens").to_numpy().astype(np.int64)
-                    cols = [table.column("doc_id"), pa.array(base + np.cumsum(sizes) - sizes), pa.array(sizes)]
-                    if ids:
-                        cols.append(table.column("ids").cast(pa.list_(pa.int64())))
-                    base += int(sizes.sum())
-                    out = pa.table(cols, names=["doc_id", "start", "n_tokens", *(["ids"] if ids else [])])
-                    if doc_ids:
-                        import pyarrow.compute as pc
-
-                        out = out.filter(pc.and_(pc.greater_equal(out["doc_id"], doc_ids[0]), pc.less_equal(out["doc_id"], doc_ids[1])))
-                    yield from out.to_batches()
-
-    files = _based(manifest)
+    spark, files = manifest.sparkSession, _based(manifest)
+    if doc_ids:  # a file that begins with null doc_ids has no first_id
+        files = files.filter((F.col("last_id") >= doc_ids[0]) & (F.col("first_id").isNull() | (F.col("first_id") <= doc_ids[1])))
+    wanted = files.select("path", "base").collect()
+    if not wanted:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long" + (", ids array<long>" if ids else ""))
+    found = spark.read.schema(FILE).parquet(*[f.path if "://" in f.path else f"file://{f.path}" for f in wanted])
     if doc_ids:
-        files = files.filter(~(F.col("last_id") < doc_ids[0]) & ~(F.col("first_id") > doc_ids[1]))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long" + (", ids array<long>" if ids else ""))
+        found = found.filter(F.col("doc_id").between(*doc_ids))
+    bases = spark.createDataFrame([(f.path.rpartition("/")[2], f.base) for f in wanted], "name string, base long")
+    placed = found.withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(F.broadcast(bases), "name")
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), *(["ids"] if ids else []))
 
 
 def _based(manifest: DataFrame) -> DataFrame:
@@ -251,8 +259,8 @@ def digests(manifest: DataFrame, folder: str) -> DataFrame:
                     offsets = column.offsets.to_numpy()
                     flat = column.values.to_numpy().astype("<u4", copy=False)
                     sizes = np.diff(offsets).astype(np.int64)
-                    if not np.array_equal(sizes, table.column("n_tokens").to_numpy()):
-                        raise ValueError(f"{file['path']}: n_tokens and ids differ in row group {g}")
+                    if not np.array_equal(sizes, table.column("n_tokens").to_numpy()) or not np.array_equal(file["base"] + table.column("at").to_numpy(), base + np.cumsum(sizes) - sizes):
+                        raise ValueError(f"{file['path']}: at, n_tokens and ids differ in row group {g}")
                     crc = [zlib.crc32(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                     own = table.column("doc_id").combine_chunks()
                     yield pa.RecordBatch.from_arrays([own.chunk(0) if hasattr(own, "num_chunks") else own, pa.array(base + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

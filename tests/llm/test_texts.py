@@ -35,20 +35,53 @@ def test_encoder_equals_library():
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files(spark, tmp_path, encoding):
     rng = random.Random(1)
-    rows = [(k, rng.choice([None, "", "some words " * rng.randint(1, 40), f"Übung {k}"])) for k in rng.sample(range(1000), 90)] + [(5000, "again"), (5000, "again"), (5000, "other"), (-3, "x y " * 30000)]
+    rows = [(k, rng.choice([None, "", "some words " * rng.randint(1, 40), f"Übung {k}"])) for k in rng.sample(range(1000), 90)] + [(5000, "again"), (5000, "again"), (5000, "other"), (-3, "x y " * 30000), (None, "no id"), (None, "")]
     folder = f"file://{tmp_path}/tokens"
     manifest = write_tokens(table(spark, rows), folder, TOKENIZER, encoding, group_tokens=200)
     got = digests(manifest, folder).orderBy("start").collect()
-    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
-    some = read_tokens(manifest, folder, (100, 300)).collect()
-    assert sorted(r.doc_id for r in some) == sorted(i for i, _ in rows if 100 <= i <= 300) and all(r.ids[-1] == 1 and len(r.ids) == r.n_tokens for r in some)
     starts = {(r.doc_id, r.start) for r in got}
-    assert all((r.doc_id, r.start) in starts for r in some)
+    for low, high in ((100, 300), (0, 39), (-10, 5000), (6000, 7000)):
+        some = read_tokens(manifest, (low, high)).collect()
+        assert sorted(r.doc_id for r in some) == sorted(i for i, _ in rows if i is not None and low <= i <= high) and all(r.ids[-1] == 1 and len(r.ids) == r.n_tokens for r in some)
+        assert all((r.doc_id, r.start) in starts for r in some)
+    assert {(r.doc_id, r.start, r.n_tokens) for r in read_tokens(manifest, ids=False).collect()} == {(r.doc_id, r.start, r.n_tokens) for r in got}
     empty = write_tokens(table(spark, []), f"{folder}-none", TOKENIZER)
     assert digests(empty, f"{folder}-none").count() == 0
 
 
+def test_pages_are_read_by_their_index(spark, tmp_path):
+    """Of one row group of 4000 documents Spark decodes only the pages that may hold the ten wanted."""
+    rows = [(k, f"text number {k} " * 5) for k in range(4000)]
+    folder = f"file://{tmp_path}/pages"
+    manifest = write_tokens(table(spark, rows).coalesce(1), folder, TOKENIZER)
+    assert manifest.agg(F.sum("row_groups")).first()[0] == manifest.count()
+    few = read_tokens(manifest, (1000, 1009))
+    assert sorted(r.doc_id for r in few.collect()) == list(range(1000, 1010))
+    found, plans = [], [few._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        while (name := plan.getClass().getSimpleName()) == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            plan = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan()
+        if "FileSourceScanExec" in plan.getClass().getName():
+            found.append(plan.metrics().apply("numOutputRows").value())
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    assert len(found) == 1 and 10 <= found[0] <= 200
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_file(name):
+    made = WordEncoder(tokenizer_file(name))
+    texts = ["It's a TEST  of words\n and <|endoftext|> more", "", None, "Größe é 123"]
+    flat, sizes = made.encode(texts)
+    ends = np.cumsum(sizes)
+    assert made.words == (name == "word_bpe_49k.json")
+    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert flat[a:b].tolist() == [*made.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+
+
 def test_warc(spark, tmp_path):
     long = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 100
     rows = [(1, "http://a/ b\n", long), (2, None, long), (9, "u", long), (9, "u", long), (3, "s", "short"), (4, "s", "short"), (5, "n", None), (6, "e", ""), (None, "q", long), (7, "big", "z" * 3_000_000)]
