@@ -10,8 +10,10 @@ manifest tables count, so lost and repeated tasks do no harm.
 Defined cases: a null payload is empty; payloads under ``MIN_REVISIT`` bytes are always responses;
 rows that repeat the largest page_id of a payload are all responses; null page_ids count as smallest
 and are written as ``null``; control characters and blanks in a url are percent-encoded, a null url
-is empty; an empty table gives no archive and no rows; extra columns, also with clashing names, are
-ignored; a stream cut off in the middle keeps its whole records and is marked ``truncated``.
+is empty; very long payloads are written whole; an empty table gives no archive and no rows; extra
+columns, also with clashing names, are ignored; NUL padding after a member is skipped; a stream cut
+off in the middle, or one with other than the records that its manifest names, raises, unless
+``truncated="keep"`` asks for its whole records, marked ``truncated``.
 """
 
 from __future__ import annotations
@@ -74,9 +76,14 @@ class Inflated:
         self.stream, self.truncated = stream, False
 
     def _content(self):
-        inflate = zlib.decompressobj(31)
+        inflate, begun = zlib.decompressobj(31), False
         while chunk := self.stream.read(READ_BYTES):
             while chunk:
+                if not begun:  # between members: padding may go on over many chunks
+                    chunk = chunk.lstrip(b"\0")
+                    if not chunk:
+                        break
+                    begun = True
                 try:
                     out = inflate.decompress(chunk, 4 * READ_BYTES)
                 except zlib.error:
@@ -86,11 +93,8 @@ class Inflated:
                     yield out
                 chunk = inflate.unconsumed_tail
                 if inflate.eof:
-                    chunk, inflate = inflate.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
-                    fresh = not chunk
-                else:
-                    fresh = False
-        self.truncated |= not locals().get("fresh", True)
+                    chunk, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+        self.truncated |= begun
 
     def __iter__(self):
         held, content = bytearray(), self._content()
@@ -160,8 +164,13 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
-    """One member per record plus a sidecar index for each file of ``monoliths`` (column path); returns the new manifest."""
+def normalise(monoliths: DataFrame, folder: str, truncated: str = "raise") -> DataFrame:
+    """One member per record plus a sidecar index for each file of ``monoliths`` (column path, and records if known); returns the new manifest.
+
+    A file that is cut off or has another number of records raises, or is marked if truncated is "keep".
+    """
+    if truncated not in ("raise", "keep"):
+        raise ValueError(f"truncated is raise or keep, not {truncated}")
 
     def rewrite(batches):
         import pyarrow as pa
@@ -170,7 +179,8 @@ def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         for batch in batches:
-            for source in batch.column("path").to_pylist():
+            said = batch.column("records").to_pylist() if "records" in batch.schema.names else [None] * batch.num_rows
+            for source, records in zip(batch.column("path").to_pylist(), said, strict=True):
                 path = f"{root}/{source.rpartition('/')[2].removesuffix('.warc.gz')}-{uuid.uuid4().hex[:8]}.warc.gz"
                 index, offset = [], 0
                 with fs.open_input_stream(source, compression=None) as raw, fs.open_output_stream(path, compression=None) as out:
@@ -181,11 +191,14 @@ def normalise(monoliths: DataFrame, folder: str) -> DataFrame:
                         fields = _headers(head)
                         index.append((fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri"), offset, len(member)))
                         offset += len(member)
+                cut = found.truncated or records not in (None, len(index))
+                if cut and truncated == "raise":
+                    raise ValueError(f"{source}: {'cut off after' if found.truncated else 'has'} {len(index)} records, {'an unknown number' if records is None else records} expected")
                 names = ["record_id", "record_type", "url", "offset", "length"]
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 table = pa.table([pa.array([r[k] for r in index], kind) for k, kind in enumerate(kinds)], names=names)
                 pq.write_table(table, f"{path}.idx.parquet", filesystem=fs, compression="zstd")
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{path}.idx.parquet"]), pa.array([len(index)], pa.int64()), pa.array([found.truncated])], names=["path", "index_path", "records", "truncated"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f"{path}.idx.parquet"]), pa.array([len(index)], pa.int64()), pa.array([cut])], names=["path", "index_path", "records", "truncated"])
 
     return written(_spread(monoliths).mapInArrow(rewrite, ARCHIVES), "archives")
 
@@ -204,8 +217,13 @@ def _parse(head: bytes, block: bytes) -> tuple:
     return _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, size, digest, _page(fields.get("warc-refers-to")), payload if kind != "revisit" else None
 
 
-def read_records(archives: DataFrame, folder: str, record_types: tuple[str, ...] | None = None, payloads: bool = True) -> DataFrame:
-    """RECORDS of normalised archives: each is read at the offset that the sidecar index names, so unwanted types are skipped unread."""
+def read_records(archives: DataFrame, folder: str, record_types: tuple[str, ...] | None = None, payloads: bool = True, truncated: str = "raise") -> DataFrame:
+    """RECORDS of normalised archives: each is read at the offset that the sidecar index names, so unwanted types are skipped unread.
+
+    An archive marked truncated raises unless truncated is "keep"; an index of other than the manifest's number of records always does.
+    """
+    if truncated not in ("raise", "keep"):
+        raise ValueError(f"truncated is raise or keep, not {truncated}")
 
     def read(batches):
         import pyarrow as pa
@@ -218,13 +236,18 @@ def read_records(archives: DataFrame, folder: str, record_types: tuple[str, ...]
             for file in batch.to_pylist():
                 with fs.open_input_file(file["index_path"]) as side:
                     index = pq.read_table(side).to_pylist()
+                if len(index) != file["records"] or (file["truncated"] and truncated == "raise"):
+                    raise ValueError(f"{file['path']}: {len(index)} of {file['records']} records in the index, truncated: {file['truncated']}")
                 rows, held = [], 0
                 with fs.open_input_file(file["path"]) as raw:
                     for at in index:
                         if record_types and at["record_type"] not in record_types:
                             continue
                         raw.seek(at["offset"])
-                        head, block = next(iter(Inflated(io.BytesIO(raw.read(at["length"])))))
+                        whole = Inflated(io.BytesIO(raw.read(at["length"])))
+                        head, block = next(iter(whole), (None, None))
+                        if head is None or whole.truncated:
+                            raise ValueError(f"{file['path']}: no whole record at {at['offset']}")
                         *row, payload = _parse(head, block)
                         rows.append((*row, file["path"], at["offset"], at["length"], payload if payloads else None))
                         held += len(block)

@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import io
 import itertools
 import math
 import random
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.llm import chat, mixing, quality
+from netquarry.llm import chat, mixing, quality, warc
 from netquarry.llm import decontaminate as decontaminate_module
 from netquarry.llm.decontaminate import SIMILARITY, decontaminate, find_leaks, masks_of
 from netquarry.llm.token_parquet import WordEncoder, digests, read_tokens, tokenizer_file, write_tokens
@@ -104,8 +106,39 @@ def test_cut_off_archive(spark, tmp_path):
     one = write_monoliths(rows, f"file://{tmp_path}/m").first()
     data = open(one.path, "rb").read()
     (tmp_path / "cut.warc.gz").write_bytes(data[: len(data) // 2])
-    made = normalise(spark.createDataFrame([(str(tmp_path / "cut.warc.gz"),)], "path string"), f"file://{tmp_path}/n").first()
-    assert made.truncated and 0 < made.records < 20
+    cut = spark.createDataFrame([(str(tmp_path / "cut.warc.gz"), 20)], "path string, records long")
+    made = normalise(cut, f"file://{tmp_path}/n", truncated="keep")
+    first = made.first()
+    assert first.truncated and 0 < first.records < 20
+    assert read_records(made, f"file://{tmp_path}/n", truncated="keep").count() == first.records
+    with pytest.raises(Exception, match="truncated: True"):
+        read_records(made, f"file://{tmp_path}/n").collect()
+    with pytest.raises(Exception, match="cut off after"):
+        normalise(cut, f"file://{tmp_path}/n2")
+    (tmp_path / "whole.warc.gz").write_bytes(data)
+    with pytest.raises(Exception, match="has 20 records, 21 expected"):
+        normalise(spark.createDataFrame([(str(tmp_path / "whole.warc.gz"), 21)], "path string, records long"), f"file://{tmp_path}/n3")
+    lost = normalise(spark.createDataFrame([(str(tmp_path / "whole.warc.gz"), 20)], "path string, records long"), f"file://{tmp_path}/n4")
+    assert read_records(lost, f"file://{tmp_path}/n4").count() == 20
+    with pytest.raises(Exception, match="20 of 19 records"):
+        read_records(lost.withColumn("records", F.lit(19).cast("long")), f"file://{tmp_path}/n4").collect()
+
+
+@pytest.mark.parametrize("padding", [0, 1, 5, 64, 300])
+def test_padding_between_members_is_no_cut(monkeypatch, padding):
+    monkeypatch.setattr(warc, "READ_BYTES", 64)
+    members = [gzip.compress(warc.record(k, "u", b"payload %d " % k * 20)) + b"\0" * padding for k in range(5)]
+    whole = warc.Inflated(io.BytesIO(b"".join(members)))
+    assert len(list(whole)) == 5 and not whole.truncated
+    cut = warc.Inflated(io.BytesIO(b"".join(members)[: -padding - 4]))
+    list(cut)
+    assert cut.truncated
+
+
+def test_warc_ignores_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "a", "b", "c"), (2, None, "x" * 2000, "a", "b", "c")], "page_id long, url string, html string, HTML string, payload string, refers_to string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in read_records(archive(pages, f"file://{tmp_path}/w"), f"file://{tmp_path}/w").collect()}
+    assert got == {1: ("revisit", 2), 2: ("response", None)}
 
 
 def chats(spark, rows):
