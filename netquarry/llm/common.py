@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: The white space that the contracts name: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACES.encode()
+#: A key is hot if it holds over one in HOT_KEYS of all rows and over HOT_ROWS; so at most HOT_KEYS are.
+HOT_KEYS, HOT_ROWS = 1000, 2000
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -102,3 +104,21 @@ def pieces(batches, rows: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str, rows: int | None = None) -> DataFrame | None:
+    """The hot keys of a table with one row a key and the number of rows that hold it; None without any. The driver sees at most HOT_KEYS keys, since the counts sum to ``rows``."""
+    if rows is None:
+        rows = counts.agg(F.sum(n)).first()[0] or 0
+    found = counts.filter(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS)).select(*key)
+    hot = found.collect()
+    return counts.sparkSession.createDataFrame(hot, found.schema) if hot else None
+
+
+def join_split(left: DataFrame, right: DataFrame, key: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined with right (one row a key), the hot keys' rows where they are and the others in a shuffle, so no task gets all rows of a hot key."""
+    if hot is None:
+        return left.join(right, key, how)
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))  # at most one row a hot key
+    cold = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(F.broadcast(hot), key, "left_semi").join(few, key, how))

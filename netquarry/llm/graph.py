@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch
+from .common import drop_scratch, hot_keys, join_split, scratch
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) for each end of the edges (a, b: of one orderable type).
 
-    Each star maps a node's neighbours to the least of them, an aggregate that is combined before the shuffle; the edges stay
-    linear in number, and each round is a table in the shared folder, so neither lineage nor any group is held in memory.
+    Each star maps a node's neighbours to the least of them, an aggregate that is combined before the shuffle; edges at hubs, whose
+    neighbours may be most of all nodes, meet that least node where they are. The edges stay linear in number, and each round is a
+    table in the shared folder, so neither lineage nor any group is held in memory.
     """
     spark = edges.sparkSession
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -25,20 +26,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             drop_scratch(spark, paths[-3])
         return spark.read.schema(schema).parquet(paths[-1])
 
+    def least(df: DataFrame, end: str) -> DataFrame:
+        """df (a, b) with m: the least b that any row has whose a is this row's ``end``; null without."""
+        counts = df.groupBy(F.col(end).alias("k")).agg(F.count("*").alias("n"))
+        low = df.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        return join_split(df.withColumn("k", F.col(end)), low, ["k"], hot_keys(counts, ["k"], "n", n_rows), "left").drop("k")
+
     current = keep(current)
+    n_rows = current.count()
     for _ in range(rounds):
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: larger neighbours go to the least of the neighbourhood
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: smaller neighbours and the node itself go to the least
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        # large star: a node's larger neighbours go to the least of its neighbourhood
+        large = keep(least(current, "b").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        # small star: its smaller neighbours and the node itself go to the least
+        small = least(large, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         current = keep(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct())
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == seen:
             break
-        seen = (state.n, state.h)
+        seen, n_rows = (state.n, state.h), state.n
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -2,11 +2,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from netquarry.llm.exact_dedup import Snapshot, exact_dedup, group_entries, digest_rows, ingest
 from netquarry.llm.graph import components
 from netquarry.llm.line_dedup import LineState, dropped_lines, line_dedup, line_keys
+from netquarry.llm import common
 from netquarry.llm import near_dedup as ND
 
 WS = re.compile(r"[\x20\x09-\x0D]")
@@ -180,6 +182,67 @@ def test_near_links_at_the_threshold_in_large_clusters(spark, monkeypatch, regio
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
 
 
+@pytest.mark.parametrize("region,held", [(3, 5), (4, 1000), (1000, 7)])
+def test_runs_of_an_order(monkeypatch, region, held):
+    """Neighbours with a long common prefix share a region, or a hub where their run was cut; regions fit; others never meet."""
+    monkeypatch.setattr(ND, "REGION", region)
+    monkeypatch.setattr(ND, "HELD", held)
+    rng = np.random.default_rng(region)
+    place = np.sort(rng.integers(0, 2, (400, ND.DEEPEST)).astype(np.uint16).view([("", np.uint16)] * ND.DEEPEST), axis=0).view(np.uint16).reshape(400, -1)
+    place[:, :2] += (np.arange(400)[:, None] // 40).astype(np.uint16)
+    tree = (np.arange(400) // 200).astype(np.int32)
+    node = np.array([ND._node(b"%d" % k) for k in range(400)], "V16")
+    runs, regions, hubs = ND._Runs(3), {}, {}
+    for at in [*range(0, 400, 23), None]:
+        got = runs.add(None if at is None else (tree[at : at + 23], place[at : at + 23], node[at : at + 23], np.ones(min(23, 400 - at), np.int64)))
+        if got:
+            for spots, number in got[2]:
+                for k, r in zip(spots, number, strict=True):
+                    regions.setdefault(int(r), []).append(got[0][k].tobytes())
+            for a, hub in got[3]:
+                hubs.setdefault(a, set()).add(hub)
+    of = {}
+    for r, members in regions.items():
+        assert 1 < len(members) <= region and len(set(members)) == len(members)
+        for m in members:
+            of.setdefault(m, set()).add(r)
+    for k in range(399):
+        a, b = node[k].tobytes(), node[k + 1].tobytes()
+        near = tree[k] == tree[k + 1] and (place[k, : ND.SHALLOWEST] == place[k + 1, : ND.SHALLOWEST]).all()
+        assert bool(of.get(a, set()) & of.get(b, set()) or hubs.get(a, set()) & hubs.get(b, set())) or not near
+        if not near:
+            assert not of.get(a, set()) & of.get(b, set())
+
+
+def test_near_groups_of_nulls_and_very_long_texts(spark, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(None, "one two three four"), (None, "one two three four"), (None, None), (8, long), (9, long + " more"), (10, long[:9000]), (11, "One two THREE four"), (12, ""), (12, None)]
+    monkeypatch.setattr(ND, "REGION_SHINGLES", 20_000)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in ND.near_groups(table(spark, rows), 3, 85).collect())
+    assert got == [(False, 0, 0, None, True), (False, 0, 2, 11, False), (False, 0, 2, 11, False), (True, 8, 29998, 8, True), (True, 9, 29999, 8, False), (True, 10, len(long[:9000].split()) - 2, 10, True), (True, 11, 2, 11, True), (True, 12, 0, 12, True), (True, 12, 0, 12, True)]
+
+
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    left = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(200)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "k long, r string")
+    hot = common.hot_keys(left.groupBy("k").count(), ["k"], "count")
+    assert {r.k for r in hot.collect()} == set(range(7)) and common.hot_keys(left.limit(0).groupBy("k").count(), ["k"], "count") is None
+    few = spark.createDataFrame([(1,)], "k long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+        assert sorted(map(tuple, common.join_split(left, right, ["k"], few, how).collect()), key=str) == want
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    edges = [(500, k) for k in range(100, 200)] + [(k, 1000 + k) for k in range(100, 150)] + [(7, 500), (2000, 2001)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: 2000 if n in (2000, 2001) else 7 for e in edges for n in e}
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g"), (2, "A b c d e f g"), (9, "other words here now yes"), (9, "other words here now yes"), (5, None), (6, "")]
     got = ND.keep_one(table(spark, rows))
