@@ -5,13 +5,14 @@ each chunk's byte embeddings; their activations are max- and mean-pooled over th
 hidden layer judges the chunk, and the chunks' judgements, max- and mean-pooled over the document,
 are combined into one probability.
 
-The network is trained on the driver from a bounded sample of labelled rows (``SAMPLE`` rows, at most
-``TRAIN_CHUNKS`` chunks of each, spread over the whole text) until a split of these rows shows no more
-gain; then all of them go through the passes found. Every document is scored over all of its bytes
-on the executors, in groups of ``GROUP`` chunks, so memory is bounded for texts of any
-length. Only the text enters a score.
-
-Defined cases: null and empty texts are one chunk of padding; repeated rows get equal scores; labels
+The network is trained on the driver from a bounded sample of labelled rows (``SAMPLE`` rows, over
+all bytes of each) until a split of these rows shows no more gain; then all of them go through the
+passes found. A batch's chunks are worked on in pieces of ``PIECE`` by ``THREADS`` threads, and the
+pieces' gradients are added in order, so a text of any length needs little memory and the threads do
+not change the result. Every document is scored over all of its bytes on the executors, in groups of
+``GROUP`` chunks, so memory is bounded there too. Only the text enters a score.
+
+Defined cases: null and empty texts are one chunk of padding; very long texts are read whole; repeated rows get equal scores; labels
 without a quality are ignored and of several for one doc_id the smallest counts; without labels all
 scores are 0.5, with labels of one value they are that value; a null doc_id is never held out; an
 empty table gives no rows; extra columns, also with clashing names, are ignored.
@@ -19,6 +20,7 @@ empty table gives no rows; extra columns, also with clashing names, are ignored.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from copy import deepcopy
 from dataclasses import dataclass
 
@@ -26,11 +28,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pick, pieces, sealed
+from .common import as_bytes, pick, pieces, sealed, written
 
 CHUNK, STEP = 256, 192
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 6, 24, 16
-SAMPLE, TRAIN_CHUNKS, BATCH, RATE, SEED = 4000, 12, 32, 3e-3, 11
+SAMPLE, BATCH, RATE, SEED = 4000, 32, 3e-3, 11
+#: Chunks that a thread works on at a time, and of a batch whose activations are kept between its two passes; those of larger batches are computed again.
+PIECE, THREADS, KEPT = 128, 4, 2048
 #: Training goes by rounds of whole passes with ROUND steps at least. After PATIENCE rounds without a GAIN in the loss of the split (one row in SPLIT) it goes back to the best and on with the next rate of FALLS, and ends after the last.
 ROUND, PATIENCE, GAIN, FALLS, SPLIT = 80, 3, 1e-3, (1, 0.2), 7
 GROUP = 256
@@ -123,28 +127,30 @@ class Model:
         return found
 
 
-def train(samples: list[tuple[list[bytes], int]], seed: int = SEED) -> Model:
-    """samples: the chunks of each text and its label. Adam on the cross entropy until it has converged.
+def train(samples: list[tuple[bytes, int]], seed: int = SEED) -> Model:
+    """samples: texts and their labels. Adam on the cross entropy until it has converged.
 
     The passes and their rates are found on all samples but a split of them, by the loss of the split, and then gone through with all.
     """
     labels = np.array([y for _, y in samples], np.float32)
     if not len(labels) or labels.min() == labels.max():
         return Model(None, float(labels[0]) if len(labels) else 0.5)
-    texts = [np.concatenate([_chunks(c, [0]) for c in chunks]) for chunks, _ in samples]
-    trainer = _Trainer(texts, labels, np.arange(len(texts)), seed)
-    for rate in _schedule(texts, labels, seed):
-        trainer.go(rate)
+    texts = [_chunks(data, chunk_starts(len(data))) for data, _ in samples]
+    with ThreadPoolExecutor(THREADS) as pool:
+        rates = _schedule(texts, labels, seed, pool)
+        trainer = _Trainer(texts, labels, np.arange(len(texts)), seed, pool)
+        for rate in rates:
+            trainer.go(rate)
     return trainer.model
 
 
-def _schedule(texts: list[np.ndarray], labels: np.ndarray, seed: int) -> list[float]:
+def _schedule(texts: list[np.ndarray], labels: np.ndarray, seed: int, pool) -> list[float]:
     """The rate of each pass up to the least loss of the split; without both labels in split and rest, the loss is that of all rows."""
     aside = np.random.default_rng(seed).permutation(len(texts)) % SPLIT == 0
     rest, split = np.flatnonzero(~aside), np.flatnonzero(aside)
     if min(len(set(labels[rest])), len(set(labels[split]))) < 2:
         rest = split = np.arange(len(texts))
-    trainer, rates, best = _Trainer(texts, labels, rest, seed), [], np.inf
+    trainer, rates, best = _Trainer(texts, labels, rest, seed, pool), [], np.inf
     kept, passes = trainer.state(), -(-ROUND * BATCH // len(rest))
     for fall in FALLS:
         trainer.back(kept)
@@ -163,8 +169,8 @@ def _schedule(texts: list[np.ndarray], labels: np.ndarray, seed: int) -> list[fl
 class _Trainer:
     """Passes of Adam over the texts at ``rows``."""
 
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, rows: np.ndarray, seed: int):
-        self.texts, self.labels, self.rows, self.rng, self.step = texts, labels, rows, np.random.default_rng(seed), 0
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, rows: np.ndarray, seed: int, pool):
+        self.texts, self.labels, self.rows, self.pool, self.rng, self.step = texts, labels, rows, pool, np.random.default_rng(seed), 0
 
         def normal(*shape, by):
             return (self.rng.standard_normal(shape) / np.sqrt(by)).astype(np.float32)
@@ -177,9 +183,7 @@ class _Trainer:
         order, w, first, second = self.rng.permutation(self.rows), self.model.weights, self.first, self.second
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
-            sizes = np.array([len(self.texts[i]) for i in own])
-            chunks, of = np.concatenate([self.texts[i] for i in own]), np.repeat(np.arange(len(own)), sizes)
-            g, self.step = _gradients(self.model, chunks, of, sizes, self.labels[own]), self.step + 1
+            g, self.step = _gradients(self.model, [self.texts[i] for i in own], self.labels[own], self.pool), self.step + 1
             for name, value in g.items():
                 first[name] = 0.9 * first[name] + 0.1 * value
                 second[name] = 0.999 * second[name] + 0.001 * value**2
@@ -194,29 +198,55 @@ class _Trainer:
 
     def loss(self, rows: np.ndarray) -> float:
         """The mean cross entropy of the texts at ``rows``."""
-        total = 0.0
-        for i in rows:
+
+        def one(i):
             h = np.concatenate([self.model.chunk_scores(self.texts[i][k : k + GROUP]) for k in range(0, len(self.texts[i]), GROUP)])
             p = min(max(self.model._probability(h.max(0), h.mean(0)), 1e-6), 1 - 1e-6)
-            total -= np.log(p if self.labels[i] else 1 - p)
-        return total / len(rows)
+            return -np.log(p if self.labels[i] else 1 - p)
+
+        return sum(self.pool.map(one, rows)) / len(rows)
+
 
+def _gradients(model: Model, texts: list[np.ndarray], labels: np.ndarray, pool) -> dict:
+    """Of the mean cross entropy of a batch of texts (their chunks)."""
+    w = model.weights
+    chunks, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
+    at, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(texts)), sizes)
+    parts = [slice(k, k + PIECE) for k in range(0, len(chunks), PIECE)]
 
-def _gradients(model: Model, chunks: np.ndarray, of: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict:
-    w, kept = model.weights, {}
-    h = model.chunk_scores(chunks, kept)
-    x, a, pooled, z = kept["x"], kept["a"], kept["pooled"], kept["z"]
-    at = np.cumsum(sizes) - sizes
+    def forward(part):
+        kept = {}
+        h = model.chunk_scores(chunks[part], kept)
+        return h, kept if len(chunks) <= KEPT else None
+
+    done = list(pool.map(forward, parts))
+    h = np.concatenate([x for x, _ in done])
     top, mean = np.maximum.reduceat(h, at, axis=0), np.add.reduceat(h, at, axis=0) / sizes[:, None]
     doc = np.concatenate([top, mean], 1)
     p = 1 / (1 + np.exp(-np.clip(doc @ w["out"] + w["out_bias"][0], -30, 30)))
     d_out = ((p - labels) / len(labels)).astype(np.float32)
-    g = {"out": doc.T @ d_out, "out_bias": np.array([d_out.sum()], np.float32)}
     d_doc = d_out[:, None] * w["out"]
     hit = h == top[of]
     hit = hit / np.add.reduceat(hit, at, axis=0)[of]
-    d_z = (hit * d_doc[of, :HIDDEN] + (d_doc[:, HIDDEN:] / sizes[:, None])[of]) * (z > 0)
-    g |= {"hidden": pooled.T @ d_z, "hidden_bias": d_z.sum(0)}
+    d_h = (hit * d_doc[of, :HIDDEN] + (d_doc[:, HIDDEN:] / sizes[:, None])[of]).astype(np.float32)
+
+    def backward(part, kept):
+        if kept is None:
+            kept = {}
+            model.chunk_scores(chunks[part], kept)
+        return _piece_gradients(model, chunks[part], kept, d_h[part])
+
+    g = {"out": doc.T @ d_out, "out_bias": np.array([d_out.sum()], np.float32)}
+    for found in pool.map(backward, parts, [kept for _, kept in done]):
+        for name, value in found.items():
+            g[name] = g[name] + value if name in g else value
+    return g
+
+
+def _piece_gradients(model: Model, chunks: np.ndarray, kept: dict, d_h: np.ndarray) -> dict:
+    w, x, a, pooled = model.weights, kept["x"], kept["a"], kept["pooled"]
+    d_z = d_h * (kept["z"] > 0)
+    g = {"hidden": pooled.T @ d_z, "hidden_bias": d_z.sum(0)}
     d_pooled = d_z @ w["hidden"].T
     positions = a.shape[1]
     d_a = np.repeat((d_pooled[:, FILTERS:] / positions)[:, None, :], positions, 1).astype(np.float32)
@@ -225,12 +255,14 @@ def _gradients(model: Model, chunks: np.ndarray, of: np.ndarray, sizes: np.ndarr
     d_a *= a > 0
     flat = d_a.reshape(-1, FILTERS)
     g |= {"filters": x.reshape(-1, x.shape[2]).T @ flat, "bias": flat.sum(0)}
-    d_x = (flat @ w["filters"].T).reshape(len(chunks), positions, WIDTH, EMBED)
-    d_e = np.zeros((len(chunks), CHUNK, EMBED), np.float32)
-    for j in range(WIDTH):
-        d_e[:, j : j + STRIDE * positions : STRIDE] += d_x[:, :, j]
-    ids = chunks.ravel().astype(np.int64)
-    g["embed"] = np.stack([np.bincount(ids, d_e[:, :, e].ravel(), 257) for e in range(EMBED)], 1).astype(np.float32)
+    # windows start STRIDE bytes apart, so the gradient of the embedded bytes is added up in steps of that many bytes
+    steps, width = WIDTH // STRIDE, STRIDE * EMBED
+    d_x = (flat @ w["filters"].T).reshape(len(chunks), positions, steps, width)
+    d_e = np.zeros((len(chunks), CHUNK // STRIDE, width), np.float32)
+    for j in range(steps):
+        d_e[:, j : j + positions] += d_x[:, :, j]
+    ids, d_e = chunks.ravel().astype(np.int64), d_e.reshape(-1, EMBED)
+    g["embed"] = np.stack([np.bincount(ids, d_e[:, e], 257) for e in range(EMBED)], 1).astype(np.float32)
     return g
 
 
@@ -240,28 +272,17 @@ def held_out(doc_id="doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Train on at most ``sample`` labelled rows that are not held out: the first by a hash of doc_id, so reruns agree.
+    """Train on at most ``sample`` labelled rows that are not held out: the first by hashes of doc_id and text, so reruns agree.
 
-    The broadcast side is at most ``sample`` rows of two numbers; the driver gets at most TRAIN_CHUNKS * CHUNK bytes of each sampled text.
+    The broadcast sides are at most ``sample`` rows of three numbers; the driver gets the texts of as many rows.
     """
     marks = pick(labels, doc_id=doc_id, label=label).filter("label is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = marks.filter(~held_out()).groupBy("doc_id").agg(F.min("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-    def cut(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = []
-            for data in as_bytes(batch.column("text")):
-                starts = chunk_starts(len(data))
-                spread = sorted({round(i * (len(starts) - 1) / max(1, TRAIN_CHUNKS - 1)) for i in range(TRAIN_CHUNKS)}) if len(starts) > TRAIN_CHUNKS else range(len(starts))
-                found.append([data[starts[i] : starts[i] + CHUNK] for i in spread])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.binary()))], names=["doc_id", "label", "chunks"])
-
-    sampled = rows.join(F.broadcast(marks), "doc_id").select("doc_id", "label", "text").mapInArrow(cut, "doc_id long, label int, chunks array<binary>")
-    got = sorted(sampled.collect(), key=lambda r: (r.doc_id, [bytes(c) for c in r.chunks]))[:sample]
-    return train([([bytes(c) for c in r.chunks], r.label) for r in got])
+    rows = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("text"))
+    first = rows.select("doc_id", "row").join(F.broadcast(marks), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(sample)
+    first = written(first, "sample")  # several rows may have one doc_id
+    got = rows.join(F.broadcast(first), ["doc_id", "row"]).select("doc_id", "row", "label", "text").dropDuplicates(["doc_id", "row"]).collect()
+    return train([((r.text or "").encode(), r.label) for r in sorted(got, key=lambda r: (r.doc_id, r.row))])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -253,10 +254,44 @@ def test_quality_learns(spark):
 def test_quality_trains_to_convergence(monkeypatch):
     rng = random.Random(6)
     texts = ["".join(rng.choices("abcdefgh", k=60)) for _ in range(200)]
-    samples = [([(t[:30] + "xyz" * (k % 2) + t[30:]).encode()], k % 2) for k, t in enumerate(texts)]
+    samples = [((t[:30] + "xyz" * (k % 2) + t[30:]).encode(), k % 2) for k, t in enumerate(texts)]
     monkeypatch.setattr(quality, "RATE", 3e-4)  # so slow that 700 steps end before the loss stops falling
     model = quality.train(samples)
-    assert all((model.score(c[0]) >= 0.5) == bool(y) for c, y in samples)
+    assert all((model.score(c) >= 0.5) == bool(y) for c, y in samples)
+
+
+def test_quality_gradients(monkeypatch):
+    """Against differences of the loss, for texts of one and of many pieces, with kept and with repeated activations."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 256, (n, quality.CHUNK)).astype(np.int16) for n in (1, 3, 300)]
+    labels = np.array([1, 0, 1], np.float32)
+    with ThreadPoolExecutor(3) as pool:
+        made = quality._Trainer(texts, labels, np.arange(3), 2, pool)
+        w = {k: v.astype(np.float64) for k, v in made.model.weights.items()}
+        made.model.weights = w
+        g = quality._gradients(made.model, texts, labels, pool)
+        monkeypatch.setattr(quality, "KEPT", 0)
+        again = quality._gradients(made.model, texts, labels, pool)
+
+        def loss():
+            total = 0.0
+            for x, y in zip(texts, labels, strict=True):
+                h = np.concatenate([made.model.chunk_scores(x[k : k + 64]) for k in range(0, len(x), 64)])
+                out = np.concatenate([h.max(0), h.mean(0)]) @ w["out"] + w["out_bias"][0]
+                total += np.log1p(np.exp(-out)) if y else np.log1p(np.exp(out))
+            return total / 3
+
+        for name, value in g.items():
+            assert np.allclose(value, again[name], rtol=1e-4, atol=1e-7)
+            for spot in rng.choice(w[name].size, min(4, w[name].size), replace=False):
+                flat, step = w[name].reshape(-1), 1e-5
+                old = flat[spot]
+                flat[spot] = old + step
+                up = loss()
+                flat[spot] = old - step
+                down = loss()
+                flat[spot] = old
+                assert (up - down) / (2 * step) == pytest.approx(float(value.reshape(-1)[spot]), rel=2e-2, abs=2e-5), name
 
 
 def test_mix(spark):
