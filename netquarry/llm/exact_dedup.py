@@ -1,31 +1,37 @@
 """Exact dedup against immutable snapshots screened by static binary-fuse filters.
 
-A snapshot is a table of one entry per distinct normalised text (SHA-256, the row that stays, the
-group's size), split by digest into buckets of bounded size, with one binary-fuse filter per bucket.
-It is never changed: a batch makes the next snapshot. An incoming batch is grouped by digest on its
-own (map-side combined, so a group of any size arrives as a few partial rows), its distinct digests
-are screened bucket by bucket, and only positives are joined to the exact entries, where both
-representatives' bytes are compared.
-
-Defined cases: null text counts as empty; empty texts are equal to each other; ties on the number of
-code points keep the smallest doc_id, null doc_id last; a repeated row is one more member of its
-group; an empty table gives no rows; extra columns, also with clashing names, are ignored.
+A snapshot is a list of immutable segments, one for each batch: a table of one entry per distinct
+normalised text of the batch (SHA-256, the row that stays, the group's size), split by digest into
+buckets of bounded size, with one binary-fuse filter per bucket. Neither is ever changed: a batch
+adds a segment, and only after ``SEGMENTS`` of them are they merged into one. An incoming batch is
+grouped by digest on its own (map-side combined, so a group of any size arrives as a few partial
+rows), its distinct digests are screened bucket by bucket, and only positives are joined to the exact
+entries, where both representatives' bytes are compared. Rows meet their group's entry in a join that
+leaves the rows of hot digests where they are.
+
+Defined cases: null text counts as empty; empty texts are equal to each other; very long texts are
+digested whole; ties on the number of code points keep the smallest doc_id, null doc_id last; a
+repeated row is one more member of its group; an empty table gives no rows; extra columns, also with
+clashing names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, SPACES, as_bytes, pick, written
+from .common import SPACE_BYTES, SPACES, as_bytes, hot_keys, join_split, pick, written
 from .fuse import BinaryFuse
 
 #: Distinct digests for each bucket, and so for each filter and each task that builds or probes one.
 BUCKET_KEYS = 200_000
+#: Segments of a snapshot; one more, and they are merged.
+SEGMENTS = 8
 ENTRY = "digest binary, keep_id long, keep_chars long, n long"
 
 
@@ -79,31 +85,65 @@ def _probe(left, right):
     import pyarrow as pa
 
     digests = left.column("digest").to_pylist()
-    maybe = np.zeros(len(digests), bool)
+    maybe = left.column("maybe").to_numpy().copy()
     for data in right.column("filter").to_pylist():
         maybe |= BinaryFuse.from_bytes(data).contains(_keys(digests))
     return left.select(["digest", "keep_id", "keep_chars", "n"]).append_column("maybe", pa.array(maybe))
 
 
+def _merged(entries: DataFrame) -> DataFrame:
+    """One entry for each digest of several segments."""
+    grouped = entries.groupBy("digest").agg(_best().alias("b"), F.sum("n").alias("n"))
+    return grouped.select("digest", F.col("b.i").alias("keep_id"), (-F.col("b.c")).alias("keep_chars"), "n")
+
+
 @dataclass(frozen=True)
-class Snapshot:
-    """Immutable: ``entries`` (ENTRY) and ``filters`` (bucket, filter) in the shared folder."""
+class Segment:
+    """Immutable: ``entries`` (ENTRY; one a digest) and ``filters`` (bucket, filter) in the shared folder."""
 
     entries: DataFrame
     filters: DataFrame
     buckets: int
 
     @classmethod
-    def build(cls, entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> "Snapshot":
+    def build(cls, entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> "Segment":
         entries = written(entries.select("digest", "keep_id", "keep_chars", "n"), "entries")
         buckets = max(1, -(-entries.count() // bucket_keys))
         filters = entries.select(_bucket(buckets).alias("bucket"), "digest").groupBy("bucket").applyInArrow(_build, "bucket int, filter binary")
         return cls(entries, written(filters, "fuse"), buckets)
 
-    def screen(self, incoming: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+
+@dataclass(frozen=True)
+class Snapshot:
+    """Immutable: a digest counts with all segments that hold it."""
+
+    segments: tuple[Segment, ...]
+
+    @classmethod
+    def build(cls, entries: DataFrame, bucket_keys: int = BUCKET_KEYS) -> "Snapshot":
+        return cls((Segment.build(entries, bucket_keys),))
+
+    @property
+    def held(self) -> DataFrame:
+        """The entries of all segments."""
+        return reduce(DataFrame.unionByName, [s.entries for s in self.segments])
+
+    @property
+    def entries(self) -> DataFrame:
+        return self.held if len(self.segments) == 1 else _merged(self.held)
+
+    def screen(self, incoming: DataFrame) -> DataFrame:
         """The incoming entries with ``maybe``: false says that the snapshot surely lacks the digest."""
-        left = incoming.select(*[c.split()[0] for c in ENTRY.split(", ")], _bucket(self.buckets).alias("bucket"))
-        return left.groupBy("bucket").cogroup(self.filters.groupBy("bucket")).applyInArrow(_probe, f"{ENTRY}, maybe boolean")
+        out = incoming.select(*[c.split()[0] for c in ENTRY.split(", ")], F.lit(False).alias("maybe"))
+        for segment in self.segments:
+            left = out.withColumn("bucket", _bucket(segment.buckets))
+            out = left.groupBy("bucket").cogroup(segment.filters.groupBy("bucket")).applyInArrow(_probe, f"{ENTRY}, maybe boolean")
+        return out
+
+    def grown(self, entries: DataFrame) -> "Snapshot":
+        """The snapshot with one segment more, or of one segment if they are many."""
+        grown = Snapshot((*self.segments, Segment.build(entries)))
+        return grown if len(grown.segments) <= SEGMENTS else Snapshot.build(grown.entries)
 
 
 def _differing(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -120,12 +160,11 @@ def ingest(snapshot: Snapshot, batch_rows: DataFrame, docs: DataFrame) -> tuple[
     docs: doc_id and text of both the snapshot's and the batch's rows, read for positives only.
     """
     own = written(snapshot.screen(group_entries(batch_rows)), "screened")
-    old = snapshot.entries.select("digest", F.col("keep_id").alias("old_id"))
+    old = snapshot.held.select("digest", F.col("keep_id").alias("old_id"))
     found = written(own.filter("maybe").join(old, "digest").select("digest", "keep_id", "old_id"), "positives")
     collided = written(_differing(found, docs), "collided")
-    merged = (own if collided.isEmpty() else own.join(collided, "digest", "left_anti")).select("digest", "keep_id", "keep_chars", "n")
-    entries = snapshot.entries.unionByName(merged).groupBy("digest").agg(_best().alias("b"), F.sum("n").alias("n"))
-    return Snapshot.build(entries.select("digest", F.col("b.i").alias("keep_id"), (-F.col("b.c")).alias("keep_chars"), "n")), collided
+    fresh = own if collided.isEmpty() else own.join(collided, "digest", "left_anti")
+    return snapshot.grown(fresh), collided
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = 2) -> DataFrame:
