@@ -1,17 +1,19 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-State: ``refs`` (key, doc_id; one row for each document row that holds the key) and ``counts`` (key,
-n_docs, max_doc), both exact, and one cuckoo filter per shard of the keys, which only screens: keys
+State: ``refs`` (doc_id, row, key; one row for each document row that holds the key, row a hash of its
+text) and ``counts`` (key, n_docs, max_doc), both exact, and one cuckoo filter per shard of the keys, which only screens: keys
 of a batch that a filter lacks are surely new and skip the join with the exact table; the others are
 joined exactly. A deletion subtracts references and takes the keys that reach zero out of the
 filters. Batches are aggregated by key before anything is shuffled, so a line that a third of all
-documents share arrives as one partial row for each task.
+documents share arrives as one partial row for each task, and references meet the keys that lose
+lines in a join that leaves those of hot keys where they are.
 
 Defined cases: null or empty text is one empty line; a key is the line without the contract's white
 space at both ends and with A-Z lowered; keys under 20 code points are never dropped; each row is a
 document of its own, also if its doc_id or text repeats, and of a dropped key all rows with the
 largest doc_id keep their lines; null doc_ids count as smallest; several lines of one document with
-one key count once and are kept or dropped together; an empty table gives no rows; extra columns,
+one key count once and are kept or dropped together; very long texts and lines are read whole; a
+deletion takes all rows of its doc_ids, null too; an empty table gives no rows; extra columns,
 also with clashing names, are ignored.
 """
 
@@ -23,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, as_bytes, pick, pieces, written
+from .common import SPACE_BYTES, as_bytes, hot_keys, join_split, pick, pieces, written
 from .cuckoo import Cuckoo, Full
 
 #: Keys for each shard: bounds the filter and the task that probes or changes it.
@@ -39,7 +41,7 @@ def _key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, key (128-bit hash): the distinct keys of each row's lines."""
+    """doc_id, row (hash of the text), key (128-bit hash): the distinct keys of each row's lines."""
 
     def keys(batches):
         import pyarrow as pa
@@ -52,9 +54,9 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 found.extend(own)
                 sizes.append(len(own))
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array(found, pa.binary())], names=["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("row").take(at), pa.array(found, pa.binary())], names=["doc_id", "row", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(keys, "doc_id long, key binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(keys, "doc_id long, row long, key binary")
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -151,9 +153,10 @@ class LineState:
 
     def delete(self, doc_ids: DataFrame) -> "LineState":
         """The state without the documents whose doc_id is in the one-column table."""
-        ids = doc_ids.toDF("doc_id").distinct()
-        gone = written(_counted(self.refs.join(ids, "doc_id", "left_semi")), "gone")
-        refs = written(self.refs.join(ids, "doc_id", "left_anti"), "refs")
+        ids = doc_ids.toDF("id").distinct()
+        own = F.col("doc_id").eqNullSafe(F.col("id"))
+        gone = written(_counted(self.refs.join(ids, own, "left_semi")), "gone")
+        refs = written(self.refs.join(ids, own, "left_anti"), "refs")
         touched = _counted(refs.join(gone.select("key"), "key", "left_semi"))
         counts = written(self.counts.join(gone.select("key"), "key", "left_anti").unionByName(touched), "counts")
         dead = gone.select("key").join(touched.select("key"), "key", "left_anti")
@@ -190,9 +193,11 @@ def dropped_lines(docs: DataFrame, state: LineState, min_chars: int = MIN_CHARS,
                 out["kept"] = pa.array(left, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    keys = state.refs.join(state.repeated(min_docs), "key").filter(F.coalesce(F.col("doc_id") < F.col("max_doc"), F.col("doc_id").isNull() & F.col("max_doc").isNotNull()))
-    drops = keys.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("key").alias("drops"))
-    both = docs.join(drops, docs.doc_id.eqNullSafe(drops.id), "left").select("doc_id", "text", "drops")
+    repeated = state.counts.filter(F.col("n_docs") >= min_docs)
+    keys = join_split(state.refs, state.repeated(min_docs), ["key"], hot_keys(repeated, ["key"], "n_docs")).filter(F.coalesce(F.col("doc_id") < F.col("max_doc"), F.col("doc_id").isNull() & F.col("max_doc").isNotNull()))
+    drops = keys.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("their")).agg(F.collect_set("key").alias("drops"))  # of one row's own lines
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    both = rows.join(drops, rows.doc_id.eqNullSafe(drops.id) & (rows.row == drops.their), "left").select("doc_id", "text", "drops")
     return both.mapInArrow(rebuild, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * texts)
 
 
@@ -200,11 +205,11 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batc
     """dropped_lines for all rows, inserted in ``batches`` batches by a hash of doc_id."""
     docs = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     refs = written(line_keys(docs).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "refs")
-    part = [refs.filter(F.col("batch") == k).select("doc_id", "key") for k in range(batches)]
+    part = [refs.filter(F.col("batch") == k).select("doc_id", "row", "key") for k in range(batches)]
     state = LineState.of(part[0])
     for more in part[1:]:
         state = state.insert(more)
-    state.refs = refs.select("doc_id", "key")  # the union of all batches, as one scan
+    state.refs = refs.select("doc_id", "row", "key")  # the union of all batches, as one scan
     return dropped_lines(docs, state, texts=texts)
 
 

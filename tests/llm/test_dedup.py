@@ -9,6 +9,7 @@ from netquarry.llm.exact_dedup import Snapshot, exact_dedup, group_entries, dige
 from netquarry.llm.graph import components
 from netquarry.llm.line_dedup import LineState, dropped_lines, line_dedup, line_keys
 from netquarry.llm import common
+from netquarry.llm import exact_dedup as exact_dedup_module
 from netquarry.llm import near_dedup as ND
 
 WS = re.compile(r"[\x20\x09-\x0D]")
@@ -43,13 +44,24 @@ def test_snapshot_screens(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(300)], "doc_id long, text string")
     rows = digest_rows(docs).checkpoint()
     snapshot = Snapshot.build(group_entries(rows.filter("doc_id < 200")), bucket_keys=40)
-    assert snapshot.filters.count() == snapshot.buckets == 5
+    assert snapshot.segments[0].filters.count() == snapshot.segments[0].buckets == 5
     screened = snapshot.screen(group_entries(rows))
     known = {r.keep_id for r in screened.filter("maybe").collect()}
     assert set(range(200)) <= known and len(known) < 215
     after, collided = ingest(snapshot, rows.filter("doc_id >= 150"), docs.select("doc_id", "text"))
     assert after.entries.count() == 300 and collided.isEmpty() and after.entries.filter("n = 2").count() == 50
-    assert snapshot.entries.count() == 200
+    assert snapshot.entries.count() == 200 and len(after.segments) == 2 and after.segments[0] is snapshot.segments[0]
+
+
+def test_snapshots_merge_their_segments(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup_module, "SEGMENTS", 2)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rows = [(k, f"text {k % 9}" if k % 3 else "the same") for k in range(90)]
+    got = exact_dedup(table(spark, rows), batches=4).collect()
+    for r in got:
+        same = [i for i, t in rows if t == dict(rows)[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.kept) == (min(same), len(same), r.doc_id == min(same))
 
 
 def brute_lines(rows):
@@ -96,6 +108,18 @@ def test_line_state_is_reversible(spark):
     assert all(r.maybe for r in screened if r.key in kept) and sum(r.maybe for r in screened) <= len(kept) + 2
 
 
+def test_null_doc_ids_are_deleted_too(spark):
+    same = "the same long line in all documents"
+    rows = [(None, f"{same}\nfirst line of a text without an id"), (None, same), (1, same), (2, f"{same}\nanother line of enough code points"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    state = LineState.of(line_keys(docs))
+    gone = state.delete(docs.filter("doc_id is null").select("doc_id").limit(1))
+    assert sorted((r.doc_id, r.key) for r in gone.refs.collect()) == sorted((r.doc_id, r.key) for r in line_keys(docs.filter("doc_id is not null")).collect())
+    assert gone.repeated().count() == 0 and state.repeated().count() == 1
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_dropped) for r in dropped_lines(docs, state, texts=False).collect()))
+    assert got == [(False, 1, 1), (False, 2, 0), (True, 0, 0), (True, 0, 1), (True, 0, 1)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)]
