@@ -28,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, pick, scratch, written
+from .common import filesystem, hot_keys, join_split, pick, scratch, written
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
@@ -263,12 +263,12 @@ def read_records(archives: DataFrame, folder: str, record_types: tuple[str, ...]
 def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """pages (page_id, url, payload) with refers_to and revisit.
 
-    Only digests and ids meet by payload (a common payload arrives as partial maxima); payloads meet their decision by page_id.
+    Only digests and ids meet by payload (a common payload arrives as partial maxima, and its ids stay where they are); payloads meet their decision by page_id.
     """
     keyed = pages.withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
     keys = written(keyed.filter(F.col("size") >= min_revisit).select("page_id", "sha"), "payloads")
-    last = keys.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha", "last")
-    others = keys.join(last, "sha").filter(~F.col("page_id").eqNullSafe(F.col("last"))).distinct()
+    last = written(keys.groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+    others = join_split(keys, last.select("sha", "last"), ["sha"], hot_keys(last, ["sha"], "n")).filter(~F.col("page_id").eqNullSafe(F.col("last"))).distinct()
     others = written(others, "revisits").select(F.col("page_id").alias("id"), F.col("sha").alias("their"), "last")
     joined = keyed.join(others, keyed.page_id.eqNullSafe(others.id) & (keyed.sha == others.their), "left")
     return joined.select("page_id", "url", "payload", F.col("last").alias("refers_to"), F.col("their").isNotNull().alias("revisit"))
