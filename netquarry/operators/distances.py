@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.network import adjacency, placed
@@ -43,12 +43,16 @@ class Csr:
         k = int(np.searchsorted(self.ids, node))
         return k if k < len(self.ids) and self.ids[k] == node else None
 
+    def near(self, k: int) -> tuple[list, list]:
+        """The neighbours of a rank and their weights."""
+        a, b = self.starts[k], self.starts[k + 1]
+        return self.to[a:b].tolist(), self.w[a:b].tolist()
+
     def search(self, seeds, bound=float("inf"), target=None, parents: dict | None = None, h=None) -> dict[int, float]:
         """Settled ranks and distances from seeds (rank, distance), up to a bound or until target is settled; h is an optional lower bound to the target."""
         done, heap = {}, []
         for k, d in seeds:
             heapq.heappush(heap, (d + (h[k] if h is not None else 0.0), d, k, -1))
-        to, w, starts = self.to, self.w, self.starts
         while heap:
             _, d, k, came = heapq.heappop(heap)
             if k in done or d > bound:
@@ -58,12 +62,26 @@ class Csr:
                 parents[k] = came
             if k == target:
                 break
-            for j in range(starts[k], starts[k + 1]):
-                t = int(to[j])
+            for t, w in zip(*self.near(k), strict=True):
                 if t not in done:
-                    heapq.heappush(heap, (d + float(w[j]) + (h[t] if h is not None else 0.0), d + float(w[j]), t, k))
+                    heapq.heappush(heap, (d + w + (h[t] if h is not None else 0.0), d + w, t, k))
         return done
 
+    def cells(self, seeds) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of seeds (rank, seed id) of each rank and its distance, by one search from all of them; ties go to the lower id, unreached ranks have distance inf."""
+        seed, d = np.full(len(self.ids), -1, np.int64), np.full(len(self.ids), np.inf)
+        done, heap = bytearray(len(self.ids)), [(0.0, s, k) for k, s in seeds]
+        heapq.heapify(heap)
+        while heap:
+            g, s, k = heapq.heappop(heap)
+            if done[k]:
+                continue
+            done[k], seed[k], d[k] = 1, s, g
+            for t, w in zip(*self.near(k), strict=True):
+                if not done[t]:
+                    heapq.heappush(heap, (g + w, s, t))
+        return seed, d
+
 
 def gathered(edges: DataFrame) -> Csr:
     """The edges on the driver; call only after counting them."""
@@ -116,8 +134,19 @@ def distances(queries: DataFrame, edges: DataFrame, bound: float | None = None,
     return how(seeded(queries, edges), edges, bound)
 
 
-def shortest_path(edges: DataFrame, source: int, target: int, nodes: DataFrame | None = None) -> DataFrame:
-    """step, node, d along one shortest path between two nodes; no rows if there is none. With nodes, straight-line bounds guide the search (weights must allow them)."""
+def shortest_path(edges: DataFrame, source: int, target: int, nodes: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """step, node, d along one shortest path between two nodes; no rows if there is none. With nodes, straight-line bounds guide the search (weights must allow them).
+
+    local gathers the edges (counted; beyond LOCAL_EDGES it refuses) for one guided search; frame relaxes all distances from the source and follows each
+    node's least predecessor back from the target in rounds that double their reach. It needs positive weights.
+    """
+    fits = fits_locally(edges)
+    if strategy == "auto":
+        strategy = "local" if fits else "frame"
+    if strategy == "frame":
+        return _frame_path(edges, source, target)
+    if not fits:
+        raise ValueError(f"over {LOCAL_EDGES} edges do not go to one worker; use the frame strategy")
     spark, graph = edges.sparkSession, gathered(edges)
     a, b = graph.rank(source), graph.rank(target)
     rows = []
@@ -126,7 +155,8 @@ def shortest_path(edges: DataFrame, source: int, target: int, nodes: DataFrame |
     elif a is not None and b is not None:
         h = None
         if nodes is not None:
-            got = nodes.toPandas().set_index("node_id").reindex(graph.ids)
+            wanted = nodes.join(edges.select(F.explode(F.array("ni", "nj")).alias("node_id")).distinct(), "node_id", "left_semi")  # as few as the edges allow
+            got = wanted.select("node_id", "x", "y").toPandas().set_index("node_id").reindex(graph.ids)
             h = np.hypot(got.x - got.x.iloc[b], got.y - got.y.iloc[b]).to_numpy()
         parents: dict[int, int] = {}
         done = graph.search([(a, 0.0)], target=b, parents=parents, h=h)
@@ -138,14 +168,42 @@ def shortest_path(edges: DataFrame, source: int, target: int, nodes: DataFrame |
     return spark.createDataFrame(rows, "step long, node long, d double")
 
 
+def _frame_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+    spark = edges.sparkSession
+    start = spark.createDataFrame([(0, 0, int(source), 0.0)], DISTANCES)
+    dist = frame_distances(start, edges).select("node", "d")
+    far = adjacency(edges).join(dist.toDF("src", "ds"), "src").join(dist.toDF("dst", "dd"), "dst").filter(F.col("ds") + F.col("w") == F.col("dd"))
+    up = far.groupBy("dst").agg(F.min("src").alias("up")).toDF("node", "up").checkpoint()
+    path = dist.filter(F.col("node") == int(target)).select("node").checkpoint()
+    while True:  # path: the last 1, 2, 4, ... nodes; up: the predecessor that many nodes before
+        more = path.join(up, "node").select(F.col("up").alias("node")).join(path, "node", "left_anti").checkpoint()
+        if more.isEmpty():
+            break
+        path = path.unionByName(more).checkpoint()
+        up = up.toDF("node", "mid").join(up.toDF("mid", "up"), "mid").select("node", "up").checkpoint()
+    on = path.join(dist, "node")
+    return on.withColumn("step", F.row_number().over(Window.orderBy("d")) - 1).select(F.col("step").cast("long").alias("step"), "node", "d")  # over the nodes of one path
+
+
 def nearest_seed(edges: DataFrame, seeds: DataFrame, strategy: str = "auto") -> DataFrame:
     """node, seed, d: the network Voronoi cells of seeds (node); ties go to the lower seed id."""
     start = seeds.select(F.lit(0).cast("long").alias("qset"), F.col("node").cast("long").alias("qi"), F.col("node").cast("long").alias("node"), F.lit(0.0).alias("d"))
     if strategy == "auto":
         strategy = "local" if fits_locally(edges) else "frame"
-    if strategy == "local":
-        found = local_distances(start, edges)
-        return found.groupBy("node").agg(F.min(F.struct("d", "qi")).alias("m")).select("node", F.col("m.qi").alias("seed"), F.col("m.d").alias("d"))
+    if strategy == "local":  # one search from all seeds, in one task
+        graph = edges.sparkSession.sparkContext.broadcast(gathered(edges))
+
+        def run(batches):
+            import pandas as pd
+
+            g = graph.value
+            ids = [int(x) for pdf in batches for x in pdf.node]
+            seed, d = g.cells([(g.rank(x), x) for x in ids if g.rank(x) is not None])
+            met = np.isfinite(d)
+            alone = [x for x in ids if g.rank(x) is None]  # seeds without edges are their own cells
+            yield pd.DataFrame({"node": np.append(g.ids[met], alone).astype("int64"), "seed": np.append(seed[met], alone).astype("int64"), "d": np.append(d[met], [0.0] * len(alone))})
+
+        return start.select("node").distinct().coalesce(1).mapInPandas(run, "node long, seed long, d double")
     adj = adjacency(edges)
     best = start.select("node", F.struct("d", F.col("qi").alias("seed")).alias("m")).checkpoint()
     frontier = best

@@ -2,6 +2,8 @@ import pytest
 
 from netquarry.operators.ann import ann_concurrent, ann_filter_refine, ann_points, center, threshold_stats
 from netquarry.operators.distances import component, distances, nearest_seed, shortest_path
+from netquarry.operators.prepare import shortcuts
+from netquarry.operators.search import ann_search, center_search
 from netquarry.plans import ann, choose
 
 from .graphs import group, network, place_distance, random_network, search
@@ -51,6 +53,78 @@ def test_all_searches_agree_with_brute_force(spark, agg, weighted):
         assert got == want, how.__name__
 
 
+def rows_of(found):
+    got = {}
+    for r in found.orderBy("qset", "rank").collect():
+        got.setdefault(r.qset, []).append((r.agg_dist, r.ni, r.nj, r.pos, r.pt_id))
+    return got
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+@pytest.mark.parametrize("agg,weighted", [("sum", False), ("max", False), ("sum", True), ("max", True)])
+def test_searches_that_stop_early(spark, agg, weighted, seed):
+    _, edges, points, rows, net, q = made(spark, seed)
+    want = brute(edges, points, rows, agg, weighted, 5)
+    parts = net.nodes.selectExpr("node_id", "node_id % 4 part")
+    short = shortcuts(net.edges, parts)
+    for straight in (True, False):
+        for method in ("expand", "refine", "threshold"):
+            assert rows_of(ann_search(net, q, 5, agg, weighted, method, straight)) == want, (method, straight)
+    assert rows_of(ann_search(net, q, 5, agg, weighted, "refine", parts=parts, short=short)) == want
+    comps = {(r.qset, r.rank): r.comp for r in ann_points(net, q, 5, agg, weighted).collect()}
+    assert {(r.qset, r.rank): r.comp for r in ann_search(net, q, 5, agg, weighted).collect()} == comps
+    for straight in (True, False):
+        best = {r.qset: r.agg_dist for r in center(net, q, agg, weighted).collect()}
+        assert {r.qset: r.agg_dist for r in center_search(net, q, agg, weighted, straight).collect()} == pytest.approx(best)
+
+
+def test_searches_settle_a_part_only(spark):
+    n = 40
+    coords = {r * n + c: (c * 10, r * 10) for r in range(n) for c in range(n)}
+    edges = [(k, k + 1, 10.0) for k in coords if (k + 1) % n] + [(k, k + n, 11.0) for k in coords if k + n in coords]
+    points = [(a, b, 2.0) for a, b, _ in edges[::3]]
+    net, q = network(spark, edges, points, coords), group(spark, [(0, 0, 820, 821, 1.0), (0, 1, 825, 826, 2.0), (0, 2, 905, 906, 3.0)])
+    want = rows_of(ann_points(net, q, 4))
+    for method in ("expand", "refine", "threshold"):
+        got = ann_search(net, q, 4, method=method)
+        assert rows_of(got) == want and 0 < got.first().settled < 3 * len(coords) / 2 and got.first().popped >= got.first().settled
+    assert center_search(net, q).first().settled < 3 * len(coords)
+
+
+def test_unreachable_and_scarce_points(spark):
+    edges = [(0, 1, 5.0), (1, 2, 5.0), (10, 11, 5.0)]
+    coords = {0: (0, 0), 1: (5, 0), 2: (10, 0), 10: (50, 0), 11: (55, 0)}
+    net = network(spark, edges, [(0, 1, 1.0), (10, 11, 2.0)], coords)
+    q = group(spark, [(0, 0, 0, 1, 2.0), (0, 1, 1, 2, 3.0), (1, 2, 10, 11, 1.0), (1, 3, 0, 1, 1.0)])
+    for method in ("expand", "refine", "threshold"):
+        got = [(r.qset, r.pt_id, r.agg_dist) for r in ann_search(net, q, 3, method=method).collect()]
+        assert got == [(0, 0, 8.0)], method
+    assert [r.qset for r in center_search(net, q).collect()] == [0]
+    assert ann_search(network(spark, edges, [], coords).__class__(net.nodes, net.edges, net.points.limit(0)), q).count() == 0
+
+
+def test_weights_of_zero(spark):
+    _, edges, points, rows, net, _ = made(spark, 5)
+    rows = [(*r[:5], 0.0) for r in rows]
+    q = group(spark, rows)
+    for agg in ("sum", "max"):
+        assert all(r.agg_dist == 0 for r in center(net, q, agg, True).collect())
+        assert all(r.agg_dist == 0 for r in center_search(net, q, agg, True).collect())
+    want = brute(edges, points, rows, "sum", True, 5)
+    assert rows_of(ann_points(net, q, 5, "sum", True)) == want
+
+
+def test_frame_path_is_a_shortest_path(spark):
+    _, edges, *_, net, _ = made(spark, 6)
+    for strategy in ("local", "frame"):
+        path = shortest_path(net.edges, 0, 17, net.nodes, strategy).orderBy("step").collect()
+        weight = {frozenset(e[:2]): e[2] for e in edges}
+        assert (path[0].node, path[-1].node, [r.step for r in path]) == (0, 17, list(range(len(path))))
+        assert all(b.d - a.d == weight[frozenset((a.node, b.node))] for a, b in zip(path, path[1:], strict=False))
+        assert path[-1].d == min(search(edges, 0, next(e[1] for e in edges if e[0] == 0), 0)[17], path[-1].d)
+    assert shortest_path(net.edges, 0, 999, strategy="frame").count() == 0
+
+
 def test_center_is_no_worse_than_sampling(spark):
     _, edges, _, rows, net, q = made(spark, 4)
     for agg in ("sum", "max"):
