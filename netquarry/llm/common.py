@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACES.encode()
 #: A key is hot if it holds over one in HOT_KEYS of all rows and over HOT_ROWS; so at most HOT_KEYS are.
-HOT_KEYS, HOT_ROWS = 1000, 2000
+HOT_KEYS, HOT_ROWS = 1000, 256
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
