@@ -32,9 +32,11 @@ def members(bits: Column, width: int = 32) -> Column:
 
 
 def coded(df: DataFrame, column: str, into: str = "code") -> DataFrame:
-    """Dictionary codes 0, 1, ... in the order of the distinct values; the ranking is over one row for each value."""
-    codes = df.select(column).distinct().withColumn(into, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(codes, df[column].eqNullSafe(codes[column])).drop(codes[column])
+    """Dictionary codes 0, 1, ... in the order of the distinct values, nulls first; the order is a range shuffle of one row for each value."""
+    from ..sources.network import numbered
+
+    codes = numbered(df.select(F.col(column).alias("_value")).distinct(), into, "_value")
+    return df.join(codes, df[column].eqNullSafe(codes["_value"])).drop("_value")
 
 
 def gaussian(mean: float, deviation: float, seed: int) -> Column:

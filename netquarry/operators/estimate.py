@@ -118,18 +118,20 @@ def polynomial_fit(cdf: DataFrame, terms: int = TERMS, unit: float = 1000.0) ->
     return cdf.groupBy("qset", "qi").agg(F.array(*sums).alias("sums")).select("qset", "qi", solve("sums").alias("poly"))
 
 
-def choose_anchors(nodes: DataFrame, n: int, tries: int = 10, seed: int = 1) -> DataFrame:
-    """anchor, node_id, x, y: n nodes far apart; each next one is, of ``tries`` seeded random nodes, that farthest from those chosen.
+def choose_anchors(net: Network, n: int, tries: int = 10, seed: int = 1) -> DataFrame:
+    """anchor, node_id, x, y: n nodes far apart; each next one is, of ``tries`` seeded random nodes, that farthest from those chosen. Nodes are drawn by their points (random_nodes).
 
     Sequential by definition, over n * tries sampled rows on the driver, whatever the size of the table.
     """
-    order = F.xxhash64(F.lit(seed), "node_id")
-    pool = [(r.node_id, r.x, r.y) for r in nodes.orderBy(order, "node_id").limit(n * tries).collect()]
+    drawn = random_nodes(net, n * tries, seed).join(net.nodes, "node_id")
+    pool = [(r.node_id, r.x, r.y) for r in drawn.orderBy("no").collect()]
     chosen = pool[:1]
-    for k in range(1, min(n, len(pool))):
+    for k in range(1, n):
         some = [p for p in pool[k * tries : (k + 1) * tries] if p not in chosen] or [p for p in pool if p not in chosen]
+        if not some:
+            break
         chosen.append(max(some, key=lambda p: (min(np.hypot(p[1] - c[1], p[2] - c[2]) for c in chosen), -p[0])))
-    return nodes.sparkSession.createDataFrame([(k, int(i), float(x), float(y)) for k, (i, x, y) in enumerate(chosen)], "anchor long, node_id long, x double, y double")
+    return net.nodes.sparkSession.createDataFrame([(k, int(i), float(x), float(y)) for k, (i, x, y) in enumerate(chosen)], "anchor long, node_id long, x double, y double")
 
 
 def random_nodes(net: Network, n: int, seed: int = 1) -> DataFrame:
@@ -140,13 +142,18 @@ def random_nodes(net: Network, n: int, seed: int = 1) -> DataFrame:
 
 
 def build_anchors(net: Network, anchors: DataFrame, radius: float, strategy: str = "auto") -> DataFrame:
-    """anchors with cnt (points within the radius), a, b (power law) and poly."""
+    """anchors with cnt (points within the radius), eps (the longest straight line to one of them), a, b (power law) and poly."""
+    from ..sources.network import with_xy
+
     q = from_nodes(net, anchors.select("node_id"))
     near = point_distances(net, q, radius, strategy).checkpoint()
     cdf = cumulative(near)
     power, poly = power_fit(thinned(cdf), "qi"), polynomial_fit(cdf).drop("qset")
-    cnt = near.groupBy("qi").agg(F.count("*").alias("cnt"))
-    return anchors.join(cnt, anchors.node_id == cnt.qi, "left").drop("qi").join(power, anchors.node_id == power.qi, "left").drop("qi").join(poly, anchors.node_id == poly.qi, "left").drop("qi").fillna(0, ["cnt"])
+    places = with_xy(net.points, net).select("pt_id", F.col("x").alias("px"), F.col("y").alias("py"))
+    at = anchors.select(F.col("node_id").alias("qi"), F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
+    held = near.join(places, "pt_id").join(F.broadcast(at), "qi")  # anchors are few
+    cnt = held.groupBy("qi").agg(F.count("*").alias("cnt"), F.max(euclid(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"))).alias("eps"))
+    return anchors.join(cnt, anchors.node_id == cnt.qi, "left").drop("qi").join(power, anchors.node_id == power.qi, "left").drop("qi").join(poly, anchors.node_id == poly.qi, "left").drop("qi").fillna(0, ["cnt", "eps"])
 
 
 def nearest_anchor(places: DataFrame, anchors: DataFrame, key: str = "node_id") -> DataFrame:

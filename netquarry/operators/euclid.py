@@ -123,11 +123,25 @@ def str_tiles(boxes: DataFrame, capacity: int, key: str = "id") -> DataFrame:
     return placed.withColumn("tile", F.floor((F.row_number().over(order) - 1) / capacity).cast("long")).drop("_cx", "_cy", "_i")
 
 
+def _tile(i, count, n: int):
+    """The number, from 0, of the one of n equal parts (the first ones take what is left over) that place i of count falls into."""
+    size, rest = F.floor(count / n), count % n
+    return F.when(i < rest * (size + 1), F.floor(i / (size + 1))).otherwise(rest + F.floor((i - rest * (size + 1)) / F.greatest(size, F.lit(1)))).cast("long")
+
+
+def _first(tile, count, n: int):
+    """The first place of a part (see _tile)."""
+    return (tile * F.floor(count / n) + F.least(tile, count % n)).cast("long")
+
+
 def str_seeds(nodes: DataFrame, n: int = 5) -> DataFrame:
-    """seed_no, node_id: n x n seeds, by falling x into n equal parts, each by falling y into n, and of each the middle node."""
-    columns = nodes.withColumn("cx", F.ntile(n).over(Window.orderBy(F.desc("x"), F.desc("y"), "node_id")))
-    order = Window.partitionBy("cx").orderBy(F.desc("y"), F.desc("x"), "node_id")
-    rows = columns.withColumn("cy", F.ntile(n).over(order))
-    inner = Window.partitionBy("cx", "cy").orderBy(F.desc("y"), F.desc("x"), "node_id")
-    middle = rows.withColumn("i", F.row_number().over(inner)).withColumn("m", F.count("*").over(Window.partitionBy("cx", "cy")))
-    return middle.filter(F.col("i") == F.floor(F.col("m") / 2) + 1).select(((F.col("cx") - 1) * n + F.col("cy") - 1).cast("long").alias("seed_no"), "node_id")
+    """seed_no, node_id: n x n seeds, by falling x into n equal parts, each by falling y into n, and of each the middle node. Both orders are range shuffles (see numbered)."""
+    from ..sources.network import numbered
+
+    total = F.lit(nodes.count())
+    columns = numbered(nodes, "_i", F.desc("x"), F.desc("y"), F.col("node_id")).withColumn("cx", _tile(F.col("_i"), total, n))
+    rows = numbered(columns, "_j", F.col("cx"), F.desc("y"), F.desc("x"), F.col("node_id"))
+    held = _first(F.col("cx") + 1, total, n) - _first(F.col("cx"), total, n)
+    rows = rows.withColumn("held", held).withColumn("k", F.col("_j") - _first(F.col("cx"), total, n)).withColumn("cy", _tile(F.col("k"), F.col("held"), n))
+    first, next_ = _first(F.col("cy"), F.col("held"), n), _first(F.col("cy") + 1, F.col("held"), n)
+    return rows.filter(F.col("k") == first + F.floor((next_ - first) / 2)).select((F.col("cx") * n + F.col("cy")).cast("long").alias("seed_no"), "node_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.network import Network, adjacency, numbered
@@ -53,41 +53,49 @@ def _fitting(net: Network) -> None:
         raise ValueError("this generator walks the network in one worker; use spaced_points on larger ones")
 
 
-def _cluster(g: Csr, start: int, n: int, step: float, growth: float, rng) -> list[tuple[int, int, float]]:
-    """n points around a node: waits are step jittered by [0.5, 1.5), growing by ``growth`` after each point."""
-    done, heap, rows, seen = set(), [(0.0, start)], [], set()
-    wait = step * (0.5 + rng.random())
+def mean_step(net: Network, share: float = 1.0) -> float:
+    """A step for the generators: a share of the mean edge length."""
+    return share * (net.edges.agg(F.avg("w")).first()[0] or 0.0)
+
+
+def _cluster(g: Csr, start: int, n: int, step: float, factor: float, rng) -> list[tuple[int, int, float]]:
+    """n points around a node, the first at the node itself: steps grow evenly from ``step`` to ``factor`` times it over the cluster, each jittered by [0.5, 1.5); what is left at an edge's end goes on along each way from there."""
+    done, heap, rows = set(), [(0.0, start, step)], []
+    first = next(iter(g.near(start)[0]), None)
+    if first is not None:
+        rows.append((min(start, first), max(start, first), 0.0 if start < first else float(g.w[g.starts[start]])))
     while heap and len(rows) < n:
-        d, k = heapq.heappop(heap)
+        d, k, wait = heapq.heappop(heap)
         if k in done:
             continue
         done.add(k)
-        for j in range(g.starts[k], g.starts[k + 1]):
-            t, w = int(g.to[j]), float(g.w[j])
-            heapq.heappush(heap, (d + w, t))
-            if (min(k, t), max(k, t)) in seen:
+        for t, w in zip(*g.near(k), strict=True):
+            if t in done:
                 continue
-            seen.add((min(k, t), max(k, t)))
-            at, a, b = wait, int(g.ids[k]), int(g.ids[t])
+            at = wait
             while at <= w and len(rows) < n:
-                rows.append((min(a, b), max(a, b), at if a < b else w - at))
-                step *= growth
-                at += step * (0.5 + rng.random())
-            wait = max(at - w, 0.0)
-    return rows
+                rows.append((min(k, t), max(k, t), at if k < t else w - at))
+                grown = step * (1 + (factor - 1) * len(rows) / n)
+                at += grown * (0.5 + rng.random())
+            heapq.heappush(heap, (d + w, t, at - w))
+    if len(rows) < n:
+        raise ValueError(f"the network around node {int(g.ids[start])} has room for {len(rows)} of {n} points of a cluster")
+    return [(int(g.ids[a]), int(g.ids[b]), p) for a, b, p in rows]
 
 
-def clusters(net: Network, n: int, size: int, step: float, growth: float = 1.0, seed: int = 1) -> DataFrame:
-    """cluster, ni, nj, pos: n clusters of ``size`` points around seeded nodes, grown in parallel, one task a cluster."""
+def clusters(net: Network, n: int, size: int, step: float, factor: float = 1.0, seed: int = 1) -> DataFrame:
+    """cluster, ni, nj, pos: n clusters of ``size`` points around seeded nodes with edges, grown in parallel, one task a cluster. Raises if one runs out of network."""
     import pandas as pd
 
     _fitting(net)
     graph = net.edges.sparkSession.sparkContext.broadcast(gathered(net.edges))
-    starts = net.nodes.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(n).select(F.col("node_id"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id")).cast("long").alias("cluster"))
+    able = net.nodes.join(net.edges.select(F.explode(F.array("ni", "nj")).alias("node_id")).distinct(), "node_id", "left_semi")
+    picked = [r.node_id for r in able.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(n).collect()]
+    starts = net.edges.sparkSession.createDataFrame(list(enumerate(picked, 1)), "cluster long, node_id long")
 
     def grow(pdf):
         g, c = graph.value, int(pdf.cluster.iloc[0])
-        rows = _cluster(g, g.rank(pdf.node_id.iloc[0]), size, step, growth, np.random.default_rng((seed, c))) if g.rank(pdf.node_id.iloc[0]) is not None else []
+        rows = _cluster(g, g.rank(pdf.node_id.iloc[0]), size, step, factor, np.random.default_rng((seed, c)))
         return pd.DataFrame([(c, *r) for r in rows], columns=["cluster", "ni", "nj", "pos"]).astype({"cluster": "int64", "ni": "int64", "nj": "int64", "pos": "float64"})
 
     return starts.groupBy("cluster").applyInPandas(grow, "cluster long, ni long, nj long, pos double")
@@ -107,7 +115,7 @@ def queries_within(net: Network, members: int, share: float, seed: int = 1, qset
     start = net.nodes.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").first()["node_id"]
     near = closest_nodes(net, start, n, strategy)
     every = max(1, min(n, total) // members)
-    picked = near.withColumn("i", F.row_number().over(Window.orderBy("d", "node")) - 1).filter((F.col("i") % every == 0) & (F.col("i") < every * members))
+    picked = numbered(near, "i", "d", "node").filter((F.col("i") % every == 0) & (F.col("i") < every * members))
     adj = adjacency(net.edges).join(picked.select(F.col("node").alias("src"), "i"), "src")
     chosen = adj.groupBy("src", "i").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "src", "dst").alias("h"), "dst", "w")).alias("m"))
     u = F.pmod(F.xxhash64(F.lit(seed + 1), "src", "m.dst"), F.lit(1 << 30)) / float(1 << 30)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cell, euclid, projected, rescaled
 from ..sources.network import Network, adjacency, canonical_edges, numbered, with_ends
-from .distances import Csr, component, distances, nearest_seed
+from .distances import Csr, component, distances, fits_locally, gathered, nearest_seed
 
 
 def from_segments(segments: DataFrame) -> Network:
@@ -153,8 +153,12 @@ def overlay_distances(net: Network, queries: DataFrame, parts: DataFrame, open_p
 
 
 def overlay_distances_all(net: Network, queries: DataFrame, parts: DataFrame, short: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
-    """overlay_distances to the nodes of every part; the shortcuts are computed once and each part is searched on its own."""
+    """overlay_distances to the nodes of every part; the shortcuts are computed once. A network that fits a worker is searched there, all parts at once."""
+    from .search import overlay_search
+
     short = shortcuts(net.edges, parts).checkpoint() if short is None else short
+    if strategy == "local" or (strategy == "auto" and fits_locally(net.edges)):
+        return overlay_search(net, queries, parts, short)
     each = [overlay_distances(net, queries, parts, r.part, short, strategy).checkpoint() for r in parts.select("part").distinct().orderBy("part").collect()]
     return reduce(DataFrame.unionByName, each)
 
@@ -178,7 +182,7 @@ def snapped(places: DataFrame, net: Network, cell_size: float, key: str = "pid")
         pos = projected(F.col("px"), F.col("py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("w"))
         share = F.when(F.col("w") == 0, 0.0).otherwise(F.col("pos") / F.col("w"))
         gap = euclid(F.col("px"), F.col("py"), F.col("x1") + share * (F.col("x2") - F.col("x1")), F.col("y1") + share * (F.col("y2") - F.col("y1")))
-        best = near.withColumn("pos", pos).withColumn("gap", gap).groupBy(key).agg(F.min(F.struct("gap", "ni", "nj", "pos")).alias("m"))
+        best = near.withColumn("pos", pos).withColumn("gap", gap).groupBy(key).agg(F.min(F.struct(F.round("gap", 9).alias("near"), "ni", "nj", "pos", "gap")).alias("m"))
         sure = best.select(key, "m.ni", "m.nj", "m.pos", "m.gap").filter(F.col("gap") <= size).checkpoint()
         found = sure if found is None else found.unionByName(sure)
         open_ = open_.join(sure.select(key), key, "left_anti").checkpoint()
@@ -200,3 +204,46 @@ def component_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if after.join(label.withColumnRenamed("root", "old"), "node").filter("root <> old").isEmpty():
             return after.groupBy("root").agg(F.count("*").alias("size"))
         label = after
+
+
+def page_order(net: Network, size: int, parts: DataFrame | None = None) -> DataFrame:
+    """node_id, place, page: nodes in an order of locality, in groups of at most ``size``.
+
+    Each group grows from the lowest node without one, by distance over the edges (with parts: within its part), until it is full or has no more to reach.
+    One group follows another, so it is a task for networks that fit one worker (counted); larger ones are ordered by parts first, each on its own.
+    """
+    import heapq
+
+    import numpy as np
+    import pandas as pd
+
+    if not fits_locally(net.edges):
+        raise ValueError("this order walks the network in one worker; order larger ones by parts")
+    graph = net.edges.sparkSession.sparkContext.broadcast(gathered(net.edges))
+    listed = net.nodes.select("node_id") if parts is None else net.nodes.select("node_id").join(parts, "node_id")
+    listed = listed if parts is not None else listed.withColumn("part", F.lit(0).cast("long"))
+
+    def order(batches):
+        g = graph.value
+        label = {int(n): int(p) for pdf in batches for n, p in zip(pdf.node_id, pdf.part, strict=True)}
+        done, rows, page = set(), [], 0
+        for first in sorted(label):
+            if first in done:
+                continue
+            heap, count = [(0.0, first)], 0
+            while heap and count < size:
+                d, node = heapq.heappop(heap)
+                if node in done:
+                    continue
+                done.add(node)
+                rows.append((node, len(rows), page))
+                count += 1
+                k = g.rank(node)
+                for t, w in zip(*g.near(k), strict=True) if k is not None else ():
+                    other = int(g.ids[t])
+                    if other not in done and label.get(other) == label[first]:
+                        heapq.heappush(heap, (d + w, other))
+            page += 1
+        yield pd.DataFrame(np.array(rows, "int64").reshape(-1, 3), columns=["node_id", "place", "page"])
+
+    return listed.coalesce(1).mapInPandas(order, "node_id long, place long, page long")

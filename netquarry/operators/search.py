@@ -539,3 +539,26 @@ def center_search(net: Network, queries: DataFrame, agg: str = "sum", weighted:
         return [] if found is None else [(*found[1:], found[0], *group.cost())]
 
     return _grouped(net, queries, run, PLACE, weighted, data)
+
+
+def overlay_search(net: Network, queries: DataFrame, parts: DataFrame, short: DataFrame) -> DataFrame:
+    """qset, qi, node, d: distances from each query to the nodes of every part (node_id, part) over the two-level graph; one task for each query and part."""
+    import pandas as pd
+
+    if not fits_locally(net.edges):
+        raise ValueError("this network does not fit a worker; use prepare.overlay_distances for one part after another")
+    shared = net.edges.sparkSession.sparkContext.broadcast(gathered_network(net, False, True, parts, short))
+    who = placed(queries, net.edges).select(F.col("qset").cast("long").alias("qset"), F.col("qi").cast("long").alias("qi"), "ni", "nj", "pos", "w")
+    every = who.crossJoin(F.broadcast(parts.select("part").distinct()))  # each query with each part of a counted network
+
+    def run(key, pdf):
+        d, q, part = shared.value, pdf.iloc[0], int(key[2])
+        a, b = d.graph.rank(int(q.ni)), d.graph.rank(int(q.nj))
+        opened = {part, int(d.overlay.part[a]), int(d.overlay.part[b])}
+        search = Guided(d.overlay.near(d.graph, opened), [(a, float(q.pos)), (b, float(q.w - q.pos))])
+        ranks = np.flatnonzero(d.overlay.part == part)
+        far = np.array([search.distance(int(k)) for k in ranks])
+        met = np.isfinite(far)
+        return pd.DataFrame({"qset": key[0], "qi": key[1], "node": d.graph.ids[ranks[met]], "d": far[met]}).astype({"qset": "int64", "qi": "int64", "node": "int64", "d": "float64"})
+
+    return every.groupBy("qset", "qi", "part").applyInPandas(run, "qset long, qi long, node long, d double")

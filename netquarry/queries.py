@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from .operators import estimate as E
 from .operators import euclid as U
 from .operators import generate as R
 from .operators import prepare as P
+from .operators import search as X
+from .plans import ann
 from .sources import network as N
 from .sources import text as T
 
@@ -53,6 +56,14 @@ class Context:
     def parts(self) -> DataFrame:
         return P.voronoi_parts(self.net, self.seeds).select("node_id", "part").checkpoint()
 
+    @cached_property
+    def short(self) -> DataFrame:
+        return P.shortcuts(self.net.edges, self.parts).checkpoint()
+
+    def scratch(self, what: str) -> str:
+        """A new name below the folder that driver and executors share."""
+        return f"{self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get('spark.checkpoint.dir')}/{what}-{uuid.uuid4().hex}"
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -188,15 +199,7 @@ def _(c):
     return c.queries_xy.select("qset", "qi", *at("x", "y"))
 
 
-@query("node_fields", NET + "SELECT src AS node_id, dst, w, (SELECT count(*) FROM points p WHERE p.ni = least(src, dst) AND p.nj = greatest(src, dst)) AS points FROM adj WHERE src % 10 = 3")
-def _(c):
-    wanted = c.net.nodes.filter(F.col("node_id") % 10 == 3).select(F.col("node_id").alias("src"))  # a positional lookup: the listed nodes
-    held = c.net.points.groupBy("ni", "nj").agg(F.count("*").alias("points"))
-    adj = N.adjacency(c.net.edges).join(wanted, "src").withColumn("ni", F.least("src", "dst")).withColumn("nj", F.greatest("src", "dst"))
-    return adj.join(held, ["ni", "nj"], "left").select(F.col("src").alias("node_id"), "dst", "w", F.coalesce("points", F.lit(0)).alias("points"))
-
-
-@query("node_fields_all", NET + ", held AS (SELECT ni, nj, count(*) AS points FROM points GROUP BY ni, nj) SELECT src AS node_id, dst, w, coalesce(points, 0) AS points FROM adj LEFT JOIN held ON held.ni = least(src, dst) AND held.nj = greatest(src, dst)")
+@query("node_fields", NET + ", held AS (SELECT ni, nj, count(*) AS points FROM points GROUP BY ni, nj) SELECT src AS node_id, dst, w, coalesce(points, 0) AS points FROM adj LEFT JOIN held ON held.ni = least(src, dst) AND held.nj = greatest(src, dst)")
 def _(c):
     held = c.net.points.groupBy("ni", "nj").agg(F.count("*").alias("points"))
     adj = N.adjacency(c.net.edges).withColumn("ni", F.least("src", "dst")).withColumn("nj", F.greatest("src", "dst"))
@@ -211,12 +214,12 @@ def _(c):
     return T.point_groups(c.net.points, c.net.edges).select("ni", "nj", "w", "first_id", "size", F.posexplode("offsets").alias("k", "pos"))
 
 
-@query("floor_lookup", NET + _GROUPS + "SELECT k AS key, ni, nj, k - first_id AS place FROM (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM points), 7)) AS k) ASOF JOIN grp ON k >= first_id")
+@query("floor_lookup", NET + _GROUPS + "SELECT k AS key, ni, nj, k - first_id AS place FROM (SELECT unnest(generate_series(0, (SELECT count(*) - 1 FROM points))) AS k) ASOF JOIN grp ON k >= first_id")
 def _(c):
     groups = T.point_groups(c.net.points, c.net.edges).select("ni", "nj", "first_id", "size")
     # a group answers the keys from its first id on, so the floor lookup is an equi-join on the ids that it covers
     covered = groups.withColumn("key", F.explode(F.sequence("first_id", F.col("first_id") + F.col("size") - 1)))
-    keys = c.spark.range(0, c.net.points.count(), 7).withColumnRenamed("id", "key")
+    keys = c.spark.range(c.net.points.count()).withColumnRenamed("id", "key")
     return keys.join(covered, "key").select("key", "ni", "nj", (F.col("key") - F.col("first_id")).alias("place"))
 
 
@@ -333,20 +336,46 @@ for _name, _agg, _weighted, _value in (("ann_point_sum", "sum", False, "sum(d)")
 
     @query(_name, _topk(_value))
     def _(c, agg=_agg, weighted=_weighted):
-        return A.ann_points(c.net, c.queries, 10, agg, weighted, dist=c.dist).drop("comp")
+        return ann(c.net, c.queries, 10, agg, weighted).drop("comp")
+
+
+for _name, _agg, _weighted, _value, _way in (("ann_full", "sum", False, "sum(d)", "full"), ("ann_refine", "sum", False, "sum(d)", "refine"), ("ann_refine_max", "max", True, "max(weight * d)", "refine"), ("ann_threshold", "sum", False, "sum(d)", "threshold"), ("ann_threshold_max", "max", True, "max(weight * d)", "threshold")):
+
+    @query(_name, _topk(_value))
+    def _(c, agg=_agg, weighted=_weighted, way=_way):
+        return ann(c.net, c.queries, 10, agg, weighted, search=way).drop("comp")
+
+
+@query("ann_not_euclidean", _topk("max(d)"))
+def _(c):
+    return ann(c.net, c.queries, 10, "max", euclidean=False).drop("comp")
+
+
+for _name, _agg, _value in (("ann_two_level", "sum", "sum(d)"), ("ann_two_level_max", "max", "max(d)")):
+
+    @query(_name, _topk(_value))
+    def _(c, agg=_agg):
+        got = X.ann_search(c.net, c.queries, 10, agg, method="refine", parts=c.parts, short=c.short)
+        return got.select("qset", "rank", "pt_id", "ni", "nj", "pos", "agg_dist")
+
+
+@query("ann_costs")
+def _(c):
+    """What each way of search settles, pops, holds at most and tries for each group; how much is a matter of the order of ties, so there is no SQL."""
+    each = [X.ann_search(c.net, c.queries, 10, method=m).select(F.lit(m).alias("method"), "qset", "settled", "popped", "heap", "tried").distinct() for m in ("expand", "refine", "threshold")]
+    return each[0].union(each[1]).union(each[2])
 
 
 @query("ann_components", _topk("sum(d)", 10, "SELECT top.qset, rank, qi, d FROM top JOIN pd USING (qset, pt_id)"))
 def _(c):
-    got = A.ann_points(c.net, c.queries, 10, dist=c.dist)
+    got = ann(c.net, c.queries, 10)
     order = A.groups(c.queries).withColumn("k", F.row_number().over(Window.partitionBy("qset").orderBy("qi")) - 1).select("qset", "qi", "k")
     return got.select("qset", "rank", F.posexplode("comp").alias("k", "d")).join(order, ["qset", "k"]).select("qset", "rank", "qi", "d")
 
 
 @query("ann_best", _topk("sum(d)", 1, "SELECT qset, pt_id, agg_dist FROM top"))
 def _(c):
-    all_ = A.point_aggregates(c.net, c.queries, c.dist)
-    return all_.groupBy("qset").agg(F.min(F.struct("agg_dist", "ni", "nj", "pos", "pt_id")).alias("m")).select("qset", "m.pt_id", "m.agg_dist")
+    return ann(c.net, c.queries, 1).select("qset", "pt_id", "agg_dist")
 
 
 @query("ann_filter_refine", _topk("sum(d)"))
@@ -408,7 +437,7 @@ def _(c):
 def _center(fold: str, weight: str, places: str) -> str:
     return DIST + f""", places AS ({places}),
     tried AS (SELECT s.qset, s.ni, s.nj, p.pos, {fold}({weight}least(s.dl + p.pos, s.dr + s.w - p.pos, coalesce(abs(s.qpos - p.pos), 1e300))) AS agg_dist FROM sides s JOIN places p ON p.qset = s.qset AND p.ni = s.ni AND p.nj = s.nj GROUP BY s.qset, s.ni, s.nj, p.pos)
-    SELECT qset, round(min(agg_dist), 6) AS agg_dist FROM tried GROUP BY qset"""
+    SELECT qset, ni, nj, round(pos, 6) AS pos, round(agg_dist, 6) AS agg_dist FROM (SELECT *, row_number() OVER (PARTITION BY qset ORDER BY round(agg_dist, 6), ni, nj, pos) AS r FROM tried) WHERE r = 1"""
 
 
 _ENDS = "SELECT DISTINCT qset, ni, nj, unnest([0.0::DOUBLE, w, coalesce(qpos, 0)]) AS pos FROM sides"
@@ -428,18 +457,28 @@ for _name, _agg, _weighted, _method, _sql in (
 
     @query(_name, _sql)
     def _(c, agg=_agg, weighted=_weighted, method=_method):
-        return A.center(c.net, c.queries, agg, weighted, method, dist=c.dist).select("qset", *at("agg_dist"))
+        if method == "sampled":
+            return A.center(c.net, c.queries, agg, weighted, method, dist=c.dist).select("qset", "ni", "nj", *at("pos", "agg_dist"))
+        return ann(c.net, c.queries, agg=agg, weights=weighted, mode="center").select("qset", "ni", "nj", *at("pos", "agg_dist"))
+
+
+@query("center_by_joins", ORACLE_SQL["center_max_weighted"])
+def _(c):
+    return A.center(c.net, c.queries, "max", True, dist=c.dist).select("qset", "ni", "nj", *at("pos", "agg_dist"))
 
 
-@query("center_place", _center("sum", "", _ENDS).rsplit("SELECT", 1)[0] + "SELECT qset, ni, nj, pos, agg_dist FROM (SELECT *, row_number() OVER (PARTITION BY qset ORDER BY agg_dist, ni, nj, pos) AS r FROM tried) WHERE r = 1")
+_PATH = ", {0}(node, d) USING KEY (node) AS (SELECT {1}::BIGINT, 0.0::DOUBLE UNION SELECT a.dst, min(p.d + a.w) FROM {0} p JOIN adj a ON a.src = p.node LEFT JOIN recurring.{0} r ON r.node = a.dst WHERE r.d IS NULL OR p.d + a.w < r.d GROUP BY a.dst)"
+_PATH = NET + _PATH.format("there", 3) + _PATH.format("back", 140) + " SELECT row_number() OVER (ORDER BY there.d) - 1 AS step, node, there.d FROM there JOIN back USING (node) WHERE there.d + back.d = (SELECT d FROM there WHERE node = 140)"
+
+
+@query("shortest_path", _PATH)  # between these nodes there is one
 def _(c):
-    return A.center(c.net, c.queries, dist=c.dist).select("qset", "ni", "nj", "pos", "agg_dist")
+    return D.shortest_path(c.net.edges, 3, 140, c.net.nodes)
 
 
-@query("shortest_path", NET + ", p(node, d) USING KEY (node) AS (SELECT 3::BIGINT, 0.0::DOUBLE UNION SELECT a.dst, min(p.d + a.w) FROM p JOIN adj a ON a.src = p.node LEFT JOIN recurring.p r ON r.node = a.dst WHERE r.d IS NULL OR p.d + a.w < r.d GROUP BY a.dst) SELECT 3::BIGINT AS source, node AS target, d FROM p WHERE node = 140")
+@query("shortest_path_by_joins", _PATH)
 def _(c):
-    path = D.shortest_path(c.net.edges, 3, 140, c.net.nodes)
-    return path.orderBy(F.desc("step")).limit(1).select(F.lit(3).cast("long").alias("source"), F.col("node").alias("target"), "d")
+    return D.shortest_path(c.net.edges, 3, 140, strategy="frame")
 
 
 # -- straight-line operators
@@ -493,13 +532,7 @@ def _(c):
     return N.with_xy(c.net.points, c.net).filter(G.Box(*_WINDOW).holds(F.col("x"), F.col("y"))).select("pt_id")
 
 
-@query("box_join", NET + ", b AS (SELECT * FROM boxes WHERE (ni + nj) % 5 = 0) SELECT l.ni AS l_ni, l.nj AS l_nj, r.ni AS r_ni, r.nj AS r_nj FROM b l JOIN b r ON l.xmin <= r.xmax AND r.xmin <= l.xmax AND l.ymin <= r.ymax AND r.ymin <= l.ymax")
-def _(c):
-    some = _boxes(c).filter((F.col("ni") + F.col("nj")) % 5 == 0)  # the two inputs of the join
-    return U.box_join(some, some, 150).select("l_ni", "l_nj", "r_ni", "r_nj")
-
-
-@query("box_join_all", NET + "SELECT l.ni AS l_ni, l.nj AS l_nj, r.ni AS r_ni, r.nj AS r_nj FROM boxes l JOIN boxes r ON l.xmin <= r.xmax AND r.xmin <= l.xmax AND l.ymin <= r.ymax AND r.ymin <= l.ymax")
+@query("box_join", NET + "SELECT l.ni AS l_ni, l.nj AS l_nj, r.ni AS r_ni, r.nj AS r_nj FROM boxes l JOIN boxes r ON l.xmin <= r.xmax AND r.xmin <= l.xmax AND l.ymin <= r.ymax AND r.ymin <= l.ymax")
 def _(c):
     return U.box_join(_boxes(c), _boxes(c), 150).select("l_ni", "l_nj", "r_ni", "r_nj")
 
@@ -559,16 +592,29 @@ def _(c):
     return P.shortcuts(c.net.edges, c.parts)
 
 
-@query("overlay_distances", DIST + _VORONOI + "SELECT dist.qset, dist.qi, dist.node, dist.d FROM dist JOIN parts ON parts.node_id = dist.node WHERE parts.part = (SELECT min(part) FROM parts) AND dist.qset = 0")
+@query("overlay_distances", DIST + "SELECT qset, qi, node, d FROM dist")
 def _(c):
-    one = c.queries.filter("qset = 0")  # one group is one query of this operator
-    target = c.parts.agg(F.min("part").alias("p")).first().p
-    return P.overlay_distances(c.net, one, c.parts, target)
+    return P.overlay_distances_all(c.net, c.queries, c.parts)
+
+
+_NUMBERED = ", no AS (SELECT part, dense_rank() OVER (ORDER BY part) - 1 AS k FROM (SELECT DISTINCT part FROM parts)) "
 
 
-@query("overlay_distances_all", DIST + "SELECT qset, qi, node, d FROM dist")
+@query("two_level_file", ORACLE_SQL["shortcuts"].rsplit("SELECT h.part", 1)[0].rstrip() + _NUMBERED + "SELECT no.k AS part, h.b AS bi, h.node AS bj, h.d FROM h JOIN bound ON bound.node_id = h.node JOIN no ON no.part = h.part WHERE h.b < h.node")
 def _(c):
-    return P.overlay_distances_all(c.net, c.queries, c.parts)
+    """The shortcuts, written to a packed two-level file and read back."""
+    parts = S.coded(c.parts, "part", "k").checkpoint()
+    renamed = parts.select("node_id", F.col("k").alias("part"))
+    of = parts.select("part", "k").distinct()
+    short = c.short.join(of, "part").select(F.col("k").alias("part"), "bi", "bj", "d")
+    path = c.scratch("two-level")
+    T.write_two_level(renamed, P.boundary(c.net.edges, renamed), short, path)
+    return T.read_two_level(c.spark, path)[2]
+
+
+@query("page_order")
+def _(c):
+    return P.page_order(c.net, 64)
 
 
 _COMP = ", reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN adj a ON a.src = reach.node) "
@@ -584,14 +630,12 @@ def _(c):
     return P.component_sizes(c.net.edges, c.net.nodes)
 
 
-_CUT = "SELECT * FROM edges WHERE (ni * 7 + nj * 3) % 11 > 3"
-_CONNECTED = f", cut AS ({_CUT}), sadj AS (SELECT ni AS src, nj AS dst FROM cut UNION ALL SELECT nj, ni FROM cut), reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN sadj a ON a.src = reach.node), ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM reach) "
+_CONNECTED = ", reach(node) AS (SELECT 0::BIGINT UNION SELECT a.dst FROM reach JOIN adj a ON a.src = reach.node), ids AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS id FROM reach) "
 
 
-@query("connected_graph", NET + _CONNECTED + "SELECT a.id AS ni, b.id AS nj, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS w FROM cut JOIN ids a ON a.node = ni JOIN ids b ON b.node = nj")
+@query("connected_graph", NET + _CONNECTED + "SELECT a.id AS ni, b.id AS nj, round(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), 6) AS w FROM edges JOIN ids a ON a.node = ni JOIN ids b ON b.node = nj")
 def _(c):
-    some = c.net.edges.filter((F.col("ni") * 7 + F.col("nj") * 3) % 11 > 3)  # a network in pieces
-    return P.connected(N.Network(c.net.nodes, some), 0).edges.select("ni", "nj", *at("w"))
+    return P.connected(c.net, 0).edges.select("ni", "nj", *at("w"))
 
 
 @query("graph_from_segments", NET + """, ids AS (SELECT x, y, row_number() OVER (ORDER BY x, y) - 1 AS id FROM (SELECT x1 AS x, y1 AS y FROM edges UNION SELECT x2, y2 FROM edges))
@@ -613,11 +657,11 @@ def _(c):
 @query("snapped_places", NET + """, places AS (SELECT s_suppkey::BIGINT AS pid, ((s_suppkey * 7919) % 1000 + 0.5)::DOUBLE AS px, ((s_suppkey * 6151) % 900 + 0.25)::DOUBLE AS py FROM supplier),
 pr AS (SELECT pid, ni, nj, w, x1, y1, x2, y2, px, py, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM places, edges),
 g AS (SELECT pid, ni, nj, t * w AS pos, sqrt((px - x1 - t * (x2 - x1)) ** 2 + (py - y1 - t * (y2 - y1)) ** 2) AS gap FROM pr)
-SELECT pid, round(min(gap), 6) AS gap FROM g GROUP BY pid""")
+SELECT pid, ni, nj, round(pos, 6) AS pos, round(gap, 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(gap, 9), ni, nj) AS r FROM g) WHERE r = 1""")
 def _(c):
     k = F.col("s_suppkey").cast("long")
     places = c.table("supplier").select(k.alias("pid"), ((k * 7919) % 1000 + 0.5).alias("x"), ((k * 6151) % 900 + 0.25).alias("y"))
-    return P.snapped(places, c.net, 100).select("pid", *at("gap"))
+    return P.snapped(places, c.net, 100).select("pid", "ni", "nj", *at("pos", "gap"))
 
 
 # -- sets and sorts
@@ -696,12 +740,12 @@ def _(c):
 
 @query("estimates")
 def _(c):
-    return E.estimate(c.net, E.random_nodes(c.net, 30), E.choose_anchors(c.net.nodes, 8), 500, 900)
+    return E.estimate(c.net, E.random_nodes(c.net, 30), E.choose_anchors(c.net, 8), 500, 900)
 
 
 @query("estimate_errors")
 def _(c):
-    got = E.estimate(c.net, E.random_nodes(c.net, 30), E.choose_anchors(c.net.nodes, 8), 500, 900).checkpoint()
+    got = E.estimate(c.net, E.random_nodes(c.net, 30), E.choose_anchors(c.net, 8), 500, 900).checkpoint()
     return E.errors(got, "lpl").withColumn("of", F.lit("lpl")).unionByName(E.errors(got, "poly").withColumn("of", F.lit("poly"))).unionByName(E.errors(got, "opt").withColumn("of", F.lit("opt")))
 
 
@@ -713,6 +757,11 @@ def _(c):
 # -- generators (seeded; rows only)
 
 
+@query("mean_step", NET + "SELECT round(0.4 * avg(w), 9) AS step FROM edges")
+def _(c):
+    return c.spark.createDataFrame([(round(R.mean_step(c.net, 0.4), 9),)], "step double")
+
+
 @query("spaced_points")
 def _(c):
     return R.spaced_points(c.net, 60)
@@ -736,10 +785,11 @@ def _(c):
 # -- the same group search in more dimensions
 
 
-@query("embedding_group_nn", "WITH q AS (SELECT vec_id AS qi, embedding AS v FROM embeddings WHERE vec_id < 4), p AS (SELECT e.vec_id, sum(sqrt(list_sum(list_transform(list_zip(e.embedding, q.v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))) AS total FROM embeddings e, q GROUP BY e.vec_id) SELECT vec_id, round(total, 4) AS total FROM p ORDER BY total, vec_id LIMIT 10")
+@query("embedding_group_nn", "WITH q AS (SELECT vec_id AS qi, embedding AS v FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT e.vec_id, sum(sqrt(list_sum(list_transform(list_zip(e.embedding, q.v), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)))) AS total FROM embeddings e, q GROUP BY e.vec_id) SELECT vec_id, round(total, 4) AS total FROM p ORDER BY total, vec_id LIMIT 10")
 def _(c):
     all_ = c.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    group = F.broadcast(all_.filter("vec_id < 4").select(F.col("v").alias("q")))  # the query group: four rows
+    group = all_.filter("vec_id % 50 = 0").select(F.col("v").alias("q"))  # the stated query set
+    group = F.broadcast(group) if group.limit(10_001).count() <= 10_000 else group
     gap = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     total = all_.crossJoin(group).groupBy("vec_id").agg(F.sum(gap).alias("total"))
     return total.orderBy("total", "vec_id").limit(10).select("vec_id", F.round("total", 4).alias("total"))

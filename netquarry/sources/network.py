@@ -83,22 +83,28 @@ def with_xy(things: DataFrame, net: Network) -> DataFrame:
     return both.select(*rest, "w", along(F.col("x1"), F.col("x2"), F.col("pos"), F.col("w")).alias("x"), along(F.col("y1"), F.col("y2"), F.col("pos"), F.col("w")).alias("y"))
 
 
-def numbered(df: DataFrame, into: str, *order: str | Column) -> DataFrame:
-    """Dense numbers from 0 in the given order, without one global window: ranges are sorted and their sizes summed.
+def running(df: DataFrame, into: str, amount: Column, *order: str | Column) -> DataFrame:
+    """The sum of ``amount`` (a whole number) over all rows before, in the given order, without one global window: ranges are sorted and their sums added up.
 
-    The ranges are checkpointed before they are counted, since sampling could draw others in a second run. The driver sees one count for each partition.
+    The ranges are checkpointed before they are summed, since sampling could draw others in a second run. The driver sees one number for each partition.
     """
     parts = df.sparkSession.sparkContext.defaultParallelism
-    sorted_ = df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    sizes = {r["_part"]: r["count"] for r in sorted_.groupBy("_part").count().collect()}
+    sorted_ = df.repartitionByRange(max(1, parts), *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_amount", amount.cast("long")).checkpoint()
+    sums = {r["_part"]: r["s"] for r in sorted_.groupBy("_part").agg(F.sum("_amount").alias("s")).collect()}
     before, run = {}, 0
-    for k in sorted(sizes):
-        before[k], run = run, run + sizes[k]
+    for k in sorted(sums):
+        before[k], run = run, run + (sums[k] or 0)
     if not before:
         return df.withColumn(into, F.lit(0).cast("long"))
     start = F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv])
-    inner = Window.partitionBy("_part").orderBy(*order)
-    return sorted_.withColumn(into, (F.row_number().over(inner) - 1 + start[F.col("_part").cast("long")]).cast("long")).drop("_part")
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum("_amount").over(inner), F.lit(0)) + start[F.col("_part").cast("long")]
+    return sorted_.withColumn(into, total.cast("long")).drop("_part", "_amount")
+
+
+def numbered(df: DataFrame, into: str, *order: str | Column) -> DataFrame:
+    """Dense numbers from 0 in the given order (see running)."""
+    return running(df, into, F.lit(1), *order)
 
 
 def derived(spark: SparkSession, sf_dir: str) -> tuple[Network, DataFrame]:
