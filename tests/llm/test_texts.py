@@ -371,18 +371,3 @@ def test_mix_of_repeated_rows_and_very_long_texts(spark, monkeypatch):
         own = [r for r in got if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own if r.size < 100_000) + 200_000 * (s == "b")
         assert all(r.taken <= 2 * r.size for r in own)
-
-
-def test_pipeline_stages(spark, tmp_path):
-    import corpus_pipeline
-
-    rng = random.Random(12)
-    word = lambda: "".join(rng.choices("abcdefghijkl", k=4))
-    item = " ".join(word() for _ in range(30))
-    rows = [(k, " ".join(word() for _ in range(60)) if k % 10 else item, rng.choice(["a", "b", None])) for k in range(80)] + [(200, None, "a")]
-    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got and not {k for k in got if k % 10 == 0 and k != 200}
-    assert len(corpus_pipeline.STAGES) == 5
