@@ -3,6 +3,13 @@
 Quality classifier, near-dedup, benchmark decontamination, mixing to source weights, token files.
 Every stage's rows are written to the shared folder and read again, so a lost executor repeats one
 stage at most. SQL can express neither the classifier nor the mixing's draws, so there is no SQL.
+
+Defined cases: each stage treats nulls, empty and very long texts, ties, repeated rows and extra
+columns as its operator says, and keeps the columns of its input; null and empty texts are judged
+like any other text by the classifier, are linked with nothing, hold no passage, and are taken no
+times by the mix, so no tokens are written for them; rows that repeat a doc_id and a text stay once
+after near-dedup; labels without a quality are ignored, and without labels all documents pass the
+classifier; without a benchmark nothing is taken out; empty tables give no rows.
 """
 
 from __future__ import annotations
