@@ -15,7 +15,8 @@ A template without ``context`` is rendered whole, which is quadratic in the turn
 
 Defined cases: rows of a conversation are ordered by turn (null first), then role, then text, so
 repeated rows and ties are turns of their own; null text or role is empty; rows with a null conv_id
-are one conversation; an empty table gives no rows; extra columns, also with clashing names, are
+are one conversation; very long texts are rendered and escaped whole; rows that a table of op3 already
+has for conversation -7 are turns of the one that the query adds; an empty table gives no rows; extra columns, also with clashing names, are
 ignored. One conversation's ordered digest is sequential by definition, so one task streams it.
 """
 
