@@ -233,6 +233,11 @@ def _(c):
     return T.plot_lines(c.net)
 
 
+@query("plot_segments", ORACLE_SQL["plot_lines"])
+def _(c):
+    return T.plot_segments(N.with_ends(c.net.edges, c.net.nodes).select(*[F.col(x).cast("double").alias(x) for x in ("x1", "y1", "x2", "y2")]))
+
+
 @query("offset_lines", NET + _GROUPS + "SELECT ni || ' ' || nj || ' ' || printf('%.3f', w) || ' ' || size || ' ' || array_to_string(list_transform(offsets, lambda p: printf('%.3f', p)), ' ') AS value FROM grp")
 def _(c):
     return T.offset_lines(c.net)
