@@ -342,6 +342,22 @@ def test_draws_keep_inclusion_probabilities():
     assert np.mean(off) < 40 and max(off) < 160
 
 
+def test_small_sources_come_near_their_words():
+    """Ten documents, one of half of all words: no draw that keeps all probabilities is always near, the nearest of several is."""
+    rng, off, before = np.random.default_rng(4), [], []
+    for _ in range(40):
+        size = np.append(rng.integers(20, 400, 9).astype(float), 1500.0)
+        p = np.full(10, rng.uniform(0.5, 0.95))
+        first = mixing.landing(size, mixing.flight(size, p, rng), rng)
+        out = mixing.nearest(size, p, first, rng)
+        off.append(abs(out @ size - p @ size) / (p @ size))
+        before.append(abs(first @ size - p @ size) / (p @ size))
+    assert all(a <= b for a, b in zip(off, before, strict=True)) and np.mean(off) < 0.03 < 0.1 < np.mean(before), (np.mean(off), np.mean(before))
+    size = rng.integers(1, 300, 400).astype(float)
+    first = mixing.landing(size, mixing.flight(size, np.full(400, 0.4), rng), rng)
+    assert mixing.nearest(size, np.full(400, 0.4), first, rng) is first
+
+
 def test_targets_equal_resharing(spark):
     """The closed form against the loop of the contract."""
     rng = random.Random(21)
