@@ -37,7 +37,7 @@ PAGE_BYTES, PAGE_ROWS = 64 << 10, 64
 MANIFEST = "part int, path string, first_id long, last_id long, docs long, tokens long, row_groups int"
 FILE = "doc_id long, at long, n_tokens int, ids array<long>"
 #: A worker forgets its pieces beyond this many pieces or ids.
-CACHE_WORDS, CACHE_IDS = 1_000_000, 8_000_000
+CACHE_WORDS, CACHE_IDS = 600_000, 5_000_000
 #: Fixed values of word_bpe_49k.json: its normalisers, its cut, what becomes of the rest, and its model.
 CUTS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
