@@ -13,11 +13,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each star maps a node's neighbours to the least of them, an aggregate that is combined before the shuffle; edges at hubs, whose
     neighbours may be most of all nodes, meet that least node where they are. The edges stay linear in number, and each round is a
-    table in the shared folder, so neither lineage nor any group is held in memory.
+    table in the shared folder, so neither lineage nor any group is held in memory. There is no round once the edges are stars
+    around their roots, which one aggregate tells: a round is five jobs, and the driver keeps something of each.
     """
     spark = edges.sparkSession
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    paths, schema, seen = [], edges.select("a", "b").schema, None
+    paths, schema = [], edges.select("a", "b").schema
 
     def keep(df: DataFrame) -> DataFrame:
         paths.append(scratch(spark, "stars"))
@@ -32,19 +33,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = df.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         return join_split(df.withColumn("k", F.col(end)), low, ["k"], hot_keys(counts, ["k"], "n", n_rows), "left").drop("k")
 
+    def state(df: DataFrame):
+        """n: the number of edges. most: 1 if each node has one edge to a root or is a root, over 1 otherwise; null without edges."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        nodes = df.select(ends.alias("e")).groupBy("e.k").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return nodes.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.max(F.col("up") + F.col("down")).alias("most")).first()
+
     current = keep(current)
-    n_rows = current.count()
-    for _ in range(rounds):
+    n_rows, most = state(current)
+    while most is not None and most > 1:
+        if not rounds:
+            raise RuntimeError("components did not settle in the given rounds")
+        rounds -= 1
         # large star: a node's larger neighbours go to the least of its neighbourhood
         large = keep(least(current, "b").select("a", F.coalesce("m", "b").alias("b")).distinct())
         # small star: its smaller neighbours and the node itself go to the least
         small = least(large, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         current = keep(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).filter("a <> b").distinct())
-        state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (state.n, state.h) == seen:
-            break
-        seen, n_rows = (state.n, state.h), state.n
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        n_rows, most = state(current)
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())

@@ -8,7 +8,7 @@ import pytest
 from netquarry.llm.exact_dedup import Snapshot, exact_dedup, group_entries, digest_rows, ingest
 from netquarry.llm.graph import components
 from netquarry.llm.line_dedup import LineState, dropped_lines, line_dedup, line_keys
-from netquarry.llm import common
+from netquarry.llm import common, graph
 from netquarry.llm import exact_dedup as exact_dedup_module
 from netquarry.llm import near_dedup as ND
 
@@ -272,3 +272,17 @@ def test_keep_one(spark):
     got = ND.keep_one(table(spark, rows))
     assert sorted(r.doc_id for r in got.collect()) == [2, 5, 6, 9] and got.columns == table(spark, rows).columns
     assert ND.near_groups(table(spark, [])).count() == 0
+
+
+def test_components_end_once_edges_are_stars(spark, monkeypatch):
+    tables, scratch = [], graph.scratch
+    monkeypatch.setattr(graph, "scratch", lambda *a: tables.append(a) or scratch(*a))
+    stars = spark.createDataFrame([(i, i % 3) for i in range(3, 30)], "a long, b long")
+    got = {r.node: r.root for r in components(stars).collect()}
+    assert got == {i: i % 3 for i in range(30)}
+    assert len(tables) == 1  # the edges themselves; two more a round
+    tables.clear()
+    off_centre = spark.createDataFrame([(9, i) for i in range(9)], "a long, b long")
+    assert {r.node: r.root for r in components(off_centre).collect()} == dict.fromkeys(range(10), 0)
+    assert len(tables) == 3
+    assert components(stars.limit(0)).count() == 0
