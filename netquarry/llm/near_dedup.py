@@ -45,6 +45,8 @@ SHALLOWEST, DEEPEST = 3, 16
 REGION, REGION_SHINGLES = 2000, 3_000_000
 #: Nodes of a run that a task holds; a longer run is cut as by the end of a range.
 HELD = 100_000
+#: Words whose hashes a task keeps: what it holds adds to what its worker has kept from other stages.
+KNOWN = 200_000
 #: Standard errors that a pair's signature estimate may lie under the threshold and still be compared.
 MARGIN = 5.0
 _U = np.uint64
@@ -66,7 +68,7 @@ class Shingler:
         if not own:
             return np.zeros(0, _U)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
         ids = list(map(known.get, own))
         if None in ids:

@@ -286,3 +286,12 @@ def test_components_end_once_edges_are_stars(spark, monkeypatch):
     assert {r.node: r.root for r in components(off_centre).collect()} == dict.fromkeys(range(10), 0)
     assert len(tables) == 3
     assert components(stars.limit(0)).count() == 0
+
+
+def test_shingler_forgets_words():
+    shingle = ND.Shingler(3)
+    want = shingle(b"some words that stay")
+    for k in range(60):
+        shingle(b" ".join(b"w%d" % i for i in range(k * 5000, (k + 1) * 5000)))
+        assert len(shingle.known) <= ND.KNOWN + 5000 and ND.KNOWN <= 200_000
+    assert (shingle(b"SOME words that stay") == want).all()
