@@ -24,6 +24,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,8 +37,8 @@ GROUP_TOKENS = 1 << 20
 PAGE_BYTES, PAGE_ROWS = 64 << 10, 64
 MANIFEST = "part int, path string, first_id long, last_id long, docs long, tokens long, row_groups int"
 FILE = "doc_id long, at long, n_tokens int, ids array<long>"
-#: A worker forgets its pieces beyond this many pieces or ids.
-CACHE_WORDS, CACHE_IDS = 600_000, 5_000_000
+#: Beyond this many words or ids a worker's cache is set aside, and the one before it, of words not met since, forgotten.
+CACHE_WORDS, CACHE_IDS = 300_000, 2_500_000
 #: Fixed values of word_bpe_49k.json: its normalisers, its cut, what becomes of the rest, and its model.
 CUTS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -61,12 +62,40 @@ def cuts_words(tokenizer) -> bool:
     return parts == CUTS and not said.get("truncation") and all(x["content"].startswith("<") for x in said.get("added_tokens") or ())
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that the ByteLevel step writes for each byte that is not its own."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class _Known(dict):
+    """The ids of words as bytes; those not known are taken from the cache before this one, or made."""
+
+    def __init__(self, make):
+        self.make, self.before, self.held = make, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            found = self.make(word)
+        self[word] = found
+        self.held += len(found)
+        return found
+
+    def bound(self) -> None:
+        if len(self) > CACHE_WORDS or self.held > 4 * CACHE_IDS:
+            self.before, self.held = dict(self), 0
+            self.clear()
+
+
 class WordEncoder:
-    """Encodes whole texts, with a tokenizer that cuts_words each distinct piece once.
+    """Encodes whole texts, with a tokenizer that cuts_words by word, each piece once while the cache holds it.
 
     Such a tokenizer lowers text, drops white space and cuts at letters, numbers and other signs before
-    it looks for subwords, so the ids of a text are those of its pieces in order. Texts are cut here
-    by the same rule, and the library encodes each piece that the worker has not met yet.
+    it looks for subwords, so the ids of a text are those of its words' pieces in order. Texts are cut
+    into words here, words that the worker does not know into pieces by the same rule, and the library's
+    model encodes each new piece: a plain one is its own normal form, so the steps before the model would
+    change nothing. Words with other characters go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -77,50 +106,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = cuts_words(self.tokenizer)
-        zero = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.zero = zero[0] if len(zero) == 1 else -1
+        self.model, self.signs = self.tokenizer.model, byte_signs()
         self.odd, self.cut = re.compile(ODD).search, re.compile(PIECES).findall
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 ends a text
-
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of each word: one call for many words, told apart by a zero, which is always a piece of its own."""
-        got = {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in words if "0" in w}
-        parted = [w for w in words if "0" not in w]
-        for k in range(0, len(parted), 512):
-            part = parted[k : k + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.zero).tolist()
-            if len(cuts) != len(part) - 1:  # not this kind of tokenizer
-                got.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()) for w in part)
-            else:
-                data = ids.tobytes()
-                got.update((w, data[4 * a : 4 * b]) for w, a, b in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True))
-        return got
-
-    def _learn(self, words: list[str]) -> None:
-        ids = self._ids(words)
-        got = [ids[w] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(got), np.uint32)])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.known = _Known(self._ids)
+
+    def _ids(self, word: str) -> bytes:
+        if not (word.isascii() and word.isalpha()):
+            if self.odd(word):
+                return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+            pieces = self.cut(word)
+            if len(pieces) > 1:
+                return b"".join([self.known[x] for x in pieces])
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.signs)
+        return array("I", [x.id for x in self.model.tokenize(word)]).tobytes()
 
     def _cut(self, text: str) -> list[str]:
-        """The pieces of a text: plain parts lowered and cut as the tokenizer would, words with odd characters as they are."""
+        """The words of a text, at its white space: lowered, but those with odd characters as they are."""
         if not self.odd(text):
-            return self.cut(text.lower())
-        found = []
-        for word in text.replace("\n", " ").replace("\t", " ").split(" "):
-            if self.odd(word):
-                found.append(word)
-            else:
-                found += self.cut(word.lower())
-        return found
+            return text.lower().split()
+        return [word if self.odd(word) else word.lower() for word in text.replace("\n", " ").replace("\t", " ").split(" ") if word]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by END_ID, and how many each text has."""
@@ -128,24 +133,13 @@ class WordEncoder:
             found = [[*x.ids, END_ID] for x in self.tokenizer.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
-        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
-            self._forget()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        found, sizes, ids, end = [], np.empty(len(texts), np.int64), self.known.__getitem__, np.uint32(END_ID).tobytes()
         for k, x in enumerate(texts):
-            own = self._cut(x or "")
-            counts[k] = len(own)
-            words += own
-        spots = list(map(self.index.get, words))
-        if None in spots:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, spots, strict=True) if i is None)))
-            spots = list(map(self.index.__getitem__, words))
-        ends = np.cumsum(counts)
-        at = np.insert(np.array(spots, np.int64), ends, 0)  # entry 0 after each text
-        size = self.sizes[at]
-        after = np.cumsum(size)
-        flat = self.flat[np.repeat(self.starts[at] - after + size, size) + np.arange(after[-1] if len(after) else 0)]
-        return flat, np.diff(after[ends + np.arange(len(texts))], prepend=0)
+            own = b"".join(map(ids, self._cut(x or "")))
+            found += [own, end]
+            sizes[k] = len(own) // 4 + 1
+            self.known.bound()
+        return np.frombuffer(b"".join(found), np.uint32), sizes
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

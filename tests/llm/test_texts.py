@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.llm import chat, mixing, quality, warc
+from netquarry.llm import chat, mixing, quality, token_parquet, warc
 from netquarry.llm import decontaminate as decontaminate_module
 from netquarry.llm.decontaminate import SIMILARITY, decontaminate, find_leaks, masks_of
 from netquarry.llm.token_parquet import WordEncoder, digests, read_tokens, tokenizer_file, write_tokens
@@ -35,6 +35,20 @@ def test_encoder_equals_library():
         assert flat[a : a + n].tolist() == [*made.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_encoder_keeps_words_in_use(monkeypatch):
+    monkeypatch.setattr(token_parquet, "CACHE_WORDS", 40)
+    made, met = WordEncoder(TOKENIZER), []
+    make = made.known.make
+    made.known.make = lambda word: met.append(word) or make(word)
+    texts = [f"The same words, as ever: É'll {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]} <{k}>" for k in range(600)]
+    flat, sizes = made.encode(texts)
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert flat[a:b].tolist() == [*made.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    assert met.count("same") == met.count("words,") == met.count("é'll") == 1 and met.count("<0>") == 1
+    assert len(made.known) + len(made.known.before) < 100
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_files(spark, tmp_path, encoding):
     rng = random.Random(1)
