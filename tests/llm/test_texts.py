@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -328,6 +329,30 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_files_leaves_texts_where_they_are(spark, tmp_path, monkeypatch):
+    """Rows of files are taken as often as rows of any other table, but their texts are in no shuffle, whatever the number of documents."""
+    monkeypatch.setattr(mixing, "SLOT_ROWS", 16)  # several slots a file
+    rng = random.Random(16)
+    rows = [(7 * k - 300 if k else None, f"{k} " + "w " * rng.choice([0, 1, 5, 30, 200]), rng.choice(["a", "b", "c", None]), k) for k in range(300)]
+    names = "doc_id long, text string, source string, TEXT int"
+    again = [(1, "w " * 40, "a", 0), (1, "w " * 41, "a", 1), (1, "w " * 41, "b", 2), (2, None, "a", 3)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for n, own in enumerate((rows, rows + again, rows[1:] + again + [(None, "w w", "b", 4), (None, "w w w", "c", 5)], [])):
+        plain = spark.createDataFrame(own, names.replace("TEXT", "x"))
+        plain.repartition(3).write.parquet(f"{tmp_path}/{n}")
+        files = spark.read.parquet(f"{tmp_path}/{n}").toDF("doc_id", "text", "source", "TEXT")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = mixing.apply_mix(files)
+            if own is rows:
+                assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            found = Counter(map(tuple, got.collect()))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        assert got.columns == files.columns and found == Counter(map(tuple, mixing.apply_mix(plain).collect()))
+        assert bool(found) == bool(own) and (not own or max(found.values()) == 2)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(8)
     size, p = rng.integers(1, 500, 400).astype(float), rng.random(400)
